@@ -1,4 +1,4 @@
-"""One nested record -> ordered (key, value) entries.
+"""One nested record -> ordered (key, cleaned key, value) entries.
 
 Spark's own JSON and XML functions need a schema, or give back a variant whose keys are
 sorted; neither keeps the document order that decides between two keys with the same
@@ -9,13 +9,23 @@ flags around it are built-in expressions.
 from __future__ import annotations
 
 import json
+import re
+import sys
 import xml.etree.ElementTree as ElementTree
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vigilake.functions.normalize import ENTRY
+ENTRIES = T.ArrayType(T.StructType([
+    T.StructField("key", T.StringType()), T.StructField("name", T.StringType()),
+    T.StructField("value", T.StringType()),
+]))
+# executors get these helpers by value, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _walk(value, key: str) -> Iterator[tuple[str, object]]:
@@ -29,24 +39,42 @@ def _walk(value, key: str) -> Iterator[tuple[str, object]]:
         yield key, value
 
 
-def _entries(pairs) -> list[dict]:
-    # a full key seen twice keeps its first place and takes the later value
-    return [
-        {"key": k, "value": None if v is None else str(v)} for k, v in dict(pairs).items()
-    ]
-
-
-@F.pandas_udf(ENTRY)
-def json_entries(documents: pd.Series) -> pd.Series:
+@lru_cache(maxsize=100_000)
+def _clean(key: str) -> str:
+    """Same rule as ``text.clean_key``; keys repeat from record to record."""
+    return re.sub(r"[\s\-]+", "_", key.rpartition(".")[2].strip().lower())
+
+
+def _batch(records) -> pa.Array:
+    """Pairs per record (None = no record) -> one Arrow array of entry lists."""
+    offsets, keys, values, missing = [0], [], [], []
+    for pairs in records:
+        missing.append(pairs is None)
+        # a full key seen twice keeps its first place and takes the later value
+        for key, value in dict(pairs or ()).items():
+            keys.append(key)
+            values.append(None if value is None else str(value))
+        offsets.append(len(keys))
+    entries = pa.StructArray.from_arrays(
+        [pa.array(keys, pa.string()), pa.array(map(_clean, keys), pa.string()), pa.array(values, pa.string())],
+        names=["key", "name", "value"],
+    )
+    return pa.ListArray.from_arrays(
+        pa.array(offsets, pa.int32()), entries, mask=pa.array(missing, pa.bool_())
+    )
+
+
+@F.arrow_udf(ENTRIES)
+def json_entries(documents: pa.Array) -> pa.Array:
     """Entries of a JSON object text; NULL for anything that is not one."""
     def one(document):
         try:
             record = json.loads(document)
         except (TypeError, ValueError):
             return None
-        return _entries(_walk(record, "")) if isinstance(record, dict) else None
+        return _walk(record, "") if isinstance(record, dict) else None
 
-    return documents.map(one)
+    return _batch(map(one, documents.to_pylist()))
 
 
 def _name(tag: str) -> str:
@@ -79,8 +107,8 @@ def _windows_event(event) -> Iterator[tuple[str, object]]:
             yield from _walk(_content(section), name)
 
 
-@F.pandas_udf(ENTRY)
-def xml_entries(documents: pd.Series) -> pd.Series:
+@F.arrow_udf(ENTRIES)
+def xml_entries(documents: pa.Array) -> pa.Array:
     """Entries of one XML record; NULL where it does not parse."""
     def one(document):
         try:
@@ -88,7 +116,34 @@ def xml_entries(documents: pd.Series) -> pd.Series:
         except (TypeError, ElementTree.ParseError):
             return None
         if _name(record.tag).lower() == "event":
-            return _entries(_windows_event(record))
-        return _entries(_walk(_content(record), ""))
+            return _windows_event(record)
+        return _walk(_content(record), "")
+
+    return _batch(map(one, documents.to_pylist()))
+
 
-    return documents.map(one)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def xml_children(documents: pa.Array) -> pa.Array:
+    """Record element texts of one whole document; NULL where it does not parse."""
+    def one(document):
+        if document is None:
+            return None
+        body = document.strip().lstrip("﻿")
+        root = None
+        for attempt in (body, f"<root>{body}</root>"):
+            try:
+                root = ElementTree.fromstring(attempt)
+                break
+            except ElementTree.ParseError:
+                continue
+        if root is None:
+            return None
+        if _name(root.tag).lower() == "event":
+            return [body]
+        names = [_name(child.tag) for child in root]
+        if not names:
+            return []
+        wanted = max(dict.fromkeys(names), key=names.count)
+        return [ElementTree.tostring(c, encoding="unicode") for c, n in zip(root, names) if n == wanted]
+
+    return pa.array(map(one, documents.to_pylist()), pa.list_(pa.string()))

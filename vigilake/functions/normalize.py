@@ -9,16 +9,12 @@ from vigilake import fixed
 from vigilake.functions import flags, text
 from vigilake.schema import to_events
 
-ENTRY = "array<struct<key:string,value:string>>"
-
 
 def lookup_map(entries: Column) -> Column:
     """Cleaned key -> value. Empty values are left out first, then the later entry of two
     with the same cleaned key counts (session option, see ``session.configure``)."""
     filled = F.filter(entries, lambda e: e["value"].isNotNull() & (e["value"] != ""))
-    return F.map_from_entries(
-        F.transform(filled, lambda e: F.struct(text.clean_key(e["key"]), e["value"]))
-    )
+    return F.map_from_arrays(filled["name"], filled["value"])
 
 
 def canonical(lookup: Column, target: str) -> Column:
@@ -29,14 +25,15 @@ def canonical(lookup: Column, target: str) -> Column:
 
 
 def normalize(records: DataFrame, log_type: str) -> DataFrame:
-    """Records with ordered ``entries`` (key, value) -> events with generic flags.
+    """Records with ordered ``entries`` (key, name, value) -> events with generic flags;
+    ``name`` is the cleaned key.
 
     Expects ``source_file, seq, raw, entries``.
     """
     looked_up = records.withColumn("_lookup", lookup_map(F.col("entries")))
     named = looked_up.select(
         "source_file", "seq", "raw",
-        F.map_from_entries("entries").alias("fields"),
+        F.map_from_arrays("entries.key", "entries.value").alias("fields"),
         *[canonical(F.col("_lookup"), t).alias(t) for t in fixed.CANONICAL_ALIASES],
     )
     typed = named.withColumns({

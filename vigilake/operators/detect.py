@@ -238,17 +238,18 @@ def success_after_failures(events: DataFrame) -> DataFrame:
         F.max(F.when(accepted, F.col("seq"))).alias("last_accept"),
         F.max_by("raw", F.when(accepted, F.col("seq"))).alias("sample"),
     ).filter("last_accept >= first_failure")
-    settled = per_address.filter("first_accept >= first_failure").withColumn("first_success", F.col("first_accept"))
     open_ = per_address.filter("first_accept < first_failure").select("scope", "log_type", "src_ip", "first_failure")
     later = (
         known.filter(accepted).select("scope", "log_type", "src_ip", "seq")
         .join(open_, ["scope", "log_type", "src_ip"])
         .filter("seq >= first_failure")
-        .groupBy("scope", "log_type", "src_ip").agg(F.min("seq").alias("first_success"))
+        .groupBy("scope", "log_type", "src_ip").agg(F.min("seq").alias("later_accept"))
+    )
+    settled = F.when(F.col("first_accept") >= F.col("first_failure"), F.col("first_accept"))
+    return per_address.join(later, ["scope", "log_type", "src_ip"], "left").select(
+        "scope", "log_type", "src_ip", "failures",
+        F.coalesce(settled, F.col("later_accept")).alias("first_success"), "sample",
     )
-    looked_up = per_address.filter("first_accept < first_failure").join(later, ["scope", "log_type", "src_ip"])
-    columns = ["scope", "log_type", "src_ip", "failures", "first_success", "sample"]
-    return settled.select(columns).unionByName(looked_up.select(columns))
 
 
 def _sequence_fired(events: DataFrame) -> DataFrame:

@@ -5,14 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the two session options that change results; leaves sizing to the cluster."""
+    """Set the session options the library relies on; sizing is left to the cluster."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # a record may hold one key twice once keys are cleaned: the later one counts
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    # wide event projections compile to methods the JVM would not optimise (its limit is
+    # 8000 bytes of bytecode); past it Spark falls back to many small methods
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
@@ -27,3 +30,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a small per-file or per-key table to the shared folder and read it back.
+
+    The work behind it runs once, its size becomes known to Spark (which then decides by
+    size whether a join may broadcast it), and a lost executor cannot take it along.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
