@@ -151,7 +151,9 @@ CSV_HEADER = "Timestamp,Src-IP,Dst IP,dst_port,protocol,Action,status_code,usern
 def firewall_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One CSV row per line item plus a header per file; one file per ten suppliers."""
     rows = table(spark, sf_dir, "lineitem").selectExpr(
-        "l_suppkey div 10 as f", "l_orderkey * 8 + l_linenumber as seq", "*"
+        "l_suppkey div 10 as f", "*",
+        # order and line number alone do not tell all rows apart
+        "(l_orderkey * 8 + l_linenumber) * 1000000 + (l_partkey * 1009 + l_suppkey) % 1000000 as seq",
     ).selectExpr(
         "concat('fw-', f, '.csv') as source_file", "seq",
         "concat(date_format(l_shipdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\"), ',10.3.', l_suppkey div 250 % 250, '.', l_suppkey % 250, ',10.9.0.', l_orderkey % 50, ',', 1 + l_partkey % 1024, ',tcp,',"
