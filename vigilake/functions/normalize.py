@@ -30,7 +30,7 @@ def normalize(records: DataFrame, log_type: str) -> DataFrame:
 
     Expects ``source_file, seq, raw, entries``.
     """
-    looked_up = records.withColumn("_lookup", lookup_map(F.col("entries")))
+    looked_up = records.withColumn("_lookup", text.once(lookup_map(F.col("entries"))))
     named = looked_up.select(
         "source_file", "seq", "raw",
         F.map_from_arrays("entries.key", "entries.value").alias("fields"),

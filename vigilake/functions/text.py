@@ -50,6 +50,13 @@ def captures(col: Column, pattern: str, groups: int) -> Column:
     return F.when(col.contains(_MARK), slow).otherwise(quick)
 
 
+def once(col: Column) -> Column:
+    """The same value as a generated column. Filters on what is derived from it stay above
+    it, so a costly expression runs once per row; pushed into a filter it would be
+    repeated for every use. To be given a name of its own in a select or withColumn."""
+    return F.explode(F.array(col))
+
+
 def percent_decode(col: Column) -> Column:
     """Percent-decoding that keeps ``+`` and leaves broken sequences as they are."""
     guarded = F.regexp_replace(

@@ -18,7 +18,7 @@ def auth_events(lines: DataFrame, default_year: int | None = None, log_type: str
     The layout has no year: ``default_year`` (this year if not given) dates ``event_ts``.
     """
     parts = clean_lines(lines, skip_comments=True).withColumn(
-        "_p", text.captures(F.col("value"), fixed.AUTH_LINE, 7)
+        "_p", text.once(text.captures(F.col("value"), fixed.AUTH_LINE, 7))
     )
     p = F.col("_p")
     parsed = parts.select(

@@ -15,7 +15,7 @@ def web_events(lines: DataFrame) -> DataFrame:
     """Events of ``(source_file, seq, value)`` lines; ``target`` is the request target as
     sent, ``path`` the decoded one. A line outside the layout keeps only its text."""
     parts = clean_lines(lines).withColumn(
-        "_p", text.captures(F.col("value"), fixed.WEB_LINE, 10)
+        "_p", text.once(text.captures(F.col("value"), fixed.WEB_LINE, 10))
     )
     p = F.col("_p")
     parsed = parts.select(

@@ -22,10 +22,11 @@ def _event_ts(stamp):
 def win_tabular_events(lines: DataFrame) -> DataFrame:
     """Events of tabular lines; a line that at least names an event id is kept whole, any
     other line outside the layout is dropped."""
-    parts = clean_lines(lines, skip_comments=True).withColumns({
-        "_p": text.captures(F.col("value"), fixed.WIN_LINE, 6),
-        "_loose": text.first_group(F.col("value"), fixed.WIN_LOOSE_EVENT_ID),
-    }).filter("_p is not null or _loose is not null")
+    parts = clean_lines(lines, skip_comments=True).withColumn(
+        "_p", text.once(text.captures(F.col("value"), fixed.WIN_LINE, 6))
+    ).withColumn(
+        "_loose", F.when(F.col("_p").isNull(), text.first_group(F.col("value"), fixed.WIN_LOOSE_EVENT_ID))
+    ).filter("_p is not null or _loose is not null")
     p = F.col("_p")
     parsed = parts.select(
         "source_file", "seq", F.col("value").alias("raw"),
@@ -43,11 +44,10 @@ def win_tabular_events(lines: DataFrame) -> DataFrame:
 def win_block_events(blocks: DataFrame) -> DataFrame:
     """Events of key/value blocks, one block per row (see :func:`scan_blocks`)."""
     value = F.col("value")
+    blocks = blocks.withColumn("value", F.btrim(value, F.lit("\r\n"))).filter(text.strip(value) != "")
     found = {n: text.strip(text.first_group(value, p)) for n, p in fixed.WIN_BLOCK_FIELDS.items()}
     parsed = (
-        blocks.withColumn("value", F.btrim(value, F.lit("\r\n")))
-        .filter(text.strip(value) != "")
-        .select(
+        blocks.select(
             "source_file", "seq", value.alias("raw"),
             found.pop("event_id").alias("event_id_raw"),
             F.substring(value, 1, 200).alias("message"),
