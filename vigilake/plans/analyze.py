@@ -64,7 +64,7 @@ def load_events(spark: SparkSession, paths, default_year: int | None = None) ->
     """Events of a whole directory of mixed formats: one routing job, then one reader per
     format over that format's files."""
     configure(spark)
-    groups = _files_by(route_files(scan_text(spark, paths)), "log_type")
+    groups = _files_by(route_files(scan_text(spark, paths, head=True)), "log_type")
     parts = [events_for(spark, t, names, default_year) for (t,), names in sorted(groups.items())]
     return reduce(DataFrame.unionByName, parts)
 

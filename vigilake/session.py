@@ -19,16 +19,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_OWN_FOLDER = "vigilake.shared.dir"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in local tests, a temporary folder is made
-    and stored in the session under the same name.
+    Only where that setting is absent, as in local tests, a temporary folder is made and
+    remembered in the session.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_FOLDER, None)
     if not root:
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.conf.set(_OWN_FOLDER, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -74,12 +74,13 @@ def _written_headers(lines: DataFrame) -> tuple[DataFrame, int]:
     return _columns(_split(headers, "header", "names", width)), width
 
 
-def csv_events(lines: DataFrame, log_type: str = "csv") -> DataFrame:
+def csv_events(lines: DataFrame, log_type: str = "csv", heads: DataFrame | None = None) -> DataFrame:
     """Events of ``(source_file, seq, value)`` lines, one record per line.
 
-    Records with quoted line breaks need :func:`read_csv_events` with ``multiline=True``.
+    ``heads`` are lines that hold at least the first of each file, if a cheaper source than
+    all lines is at hand. Records with quoted line breaks need :func:`read_csv_events` with ``multiline=True``.
     """
-    headers, width = _written_headers(lines)
+    headers, width = _written_headers(lines if heads is None else heads)
     rows = lines.join(headers, "source_file").filter("seq <> header_seq")
     return _named(_split(rows, "value", "cells", width), log_type)
 
@@ -100,10 +101,10 @@ def _named(rows: DataFrame, log_type: str) -> DataFrame:
 def read_csv_events(spark: SparkSession, paths, multiline: bool = False, log_type: str = "csv") -> DataFrame:
     """Events of CSV files. ``multiline=True`` also reads quoted line breaks, at the price
     of files that cannot be split; the record's cells joined again stand for its text."""
-    lines = scan_text(spark, paths)
+    heads = scan_text(spark, paths, head=True)
     if not multiline:
-        return csv_events(lines, log_type)
-    headers, width = _written_headers(lines)
+        return csv_events(scan_text(spark, paths), log_type, heads)
+    headers, width = _written_headers(heads)
     schema = ", ".join(f"c{i} string" for i in range(width))
     parts = []
     for delimiter in fixed.DELIMITERS:

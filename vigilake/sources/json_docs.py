@@ -95,7 +95,7 @@ def read_json_events(spark: SparkSession, paths, layout: str | None = None, log_
     )
     if layout == "document":
         return json_document_events(documents, log_type)
-    found = json_layout(scan_text(spark, paths)).groupBy("layout").agg(F.collect_list("source_file")).collect()
+    found = json_layout(scan_text(spark, paths, head=True)).groupBy("layout").agg(F.collect_list("source_file")).collect()
     files = dict(map(tuple, found))
     parts = []
     if files.get("lines"):

@@ -22,12 +22,19 @@ def sequence() -> Column:
     return F.col("_metadata.file_block_start") + row
 
 
-def scan_text(spark: SparkSession, paths, line_sep: str | None = None) -> DataFrame:
-    """Lines as they are, with file and order; splittable for uncompressed files."""
+def scan_text(spark: SparkSession, paths, line_sep: str | None = None, head: bool = False) -> DataFrame:
+    """Lines as they are, with file and order; splittable for uncompressed files.
+
+    ``head=True`` keeps the lines of each file's first split only. It serves probes that
+    look at the start of a file (headers, formats, layouts).
+    """
     reader = spark.read
     if line_sep:
         reader = reader.option("lineSep", line_sep)
-    return reader.text(paths).select(
+    lines = reader.text(paths)
+    if head:
+        lines = lines.filter(F.col("_metadata.file_block_start") == 0)
+    return lines.select(
         F.col("_metadata.file_path").alias("source_file"),
         sequence().alias("seq"),
         F.col("value"),

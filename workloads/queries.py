@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilake.functions import text
 from vigilake.operators import aggregates, detect, hunts, ranking, selections
@@ -416,8 +417,8 @@ register("k9_event_id_list", lambda logs: selections.select_event_ids(logs.win,
 # --------------------------------------------------------------------- selections
 register("g1_keyword_selection", lambda logs: selections.select_keywords(logs.auth, ["failed PASSWORD for root", "Invalid user g5"]).select("seq", "raw"),
          sql("auth", "SELECT seq, raw FROM auth WHERE contains(lower(raw), 'failed password for root') OR contains(lower(raw), 'invalid user g5')"))
-register("g2_query_all_and_any", lambda logs: selections.select_query_keywords(logs.web, ["union", "select", "%20from", "nowhere"]).select("seq", "target"),
-         sql("web", "SELECT seq, target FROM web WHERE contains(lower(uri_query), 'union') AND contains(lower(uri_query), 'select') AND contains(lower(uri_query), '%20from')"))
+register("g2_query_all_and_any", lambda logs: selections.select_query_keywords(logs.web, ["union", "select", "+from", "nowhere"]).select("seq", "target"),
+         sql("web", "SELECT seq, target FROM web WHERE contains(lower(uri_query), 'union') AND contains(lower(uri_query), 'select') AND contains(lower(uri_query), '+from')"))
 register("g3_event_id_selection", lambda logs: selections.select_event_ids(logs.winevent, [4625]).select("seq", "src_ip"),
          sql("winevent", "SELECT seq, src_ip FROM winevent WHERE event_id = 4625"))
 register("g4_any_field", lambda logs: selections.select_fields(logs.csv, ["failed", "DENY"]).select("source_file", "seq"),
@@ -606,7 +607,7 @@ def _drained(logs: Logs, streaming: DataFrame, name: str, mode: str) -> DataFram
     else:
         query = writer.foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).start()
     query.awaitTermination()
-    return logs.spark.read.schema(streaming.schema if mode == "append" else streaming.schema.add("batch", "bigint")).parquet(out)
+    return logs.spark.read.schema(streaming.schema if mode == "append" else streaming.schema.add("batch", T.LongType())).parquet(out)
 
 
 _NARROW = ["source_file", "seq", "raw", "src_ip", "event_ts", "is_failed_auth", "is_accepted_auth"]

