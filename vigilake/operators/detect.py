@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from vigilake.operators.rules import Rule, rule_dimension, rules
 from vigilake.schema import flag
 
-SALTS = 32
 LISTED = 10  # longest evidence list of any rule
 
 EVIDENCE = {
@@ -89,6 +88,12 @@ def key_profile(events: DataFrame, chosen: list[Rule]) -> DataFrame:
     return rows.groupBy("scope", "log_type", "kind", "key").agg(*measures)
 
 
+def _salts(df: DataFrame) -> int:
+    """As many parts per scope as the job has shuffle partitions, within bounds: a part
+    hands on at most ``LISTED`` rows per list, so the merge stays small."""
+    return min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8), 1024)
+
+
 def _rule_rows(profile: DataFrame, chosen: list[Rule]) -> DataFrame:
     """Profile -> one row per (rule, key) that counts for the rule."""
     def row(r: Rule, key: Column, n: Column, first: Column, raw: Column):
@@ -116,7 +121,7 @@ def _rule_rows(profile: DataFrame, chosen: list[Rule]) -> DataFrame:
         rows.append(F.when(counts, row(r, key, n, first, raw)))
     return profile.select(
         "scope", "log_type",
-        F.pmod(F.xxhash64("kind", "key"), F.lit(SALTS)).alias("salt"),
+        F.pmod(F.xxhash64("kind", "key"), F.lit(_salts(profile))).alias("salt"),
         F.explode(F.array_compact(F.array(*rows))).alias("r"),
     ).select("scope", "log_type", "salt", "r.*")
 

@@ -34,7 +34,7 @@ def _split(rows: DataFrame, source: str, target: str, width: int) -> DataFrame:
         for d in fixed.DELIMITERS
     ])
     cells = F.array(*[F.coalesce(F.col("_row")[f"c{i}"], F.lit("")) for i in range(width)])
-    return rows.withColumn("_row", parsed).withColumn(target, cells).drop("_row")
+    return rows.withColumn("_row", text.once(parsed)).withColumn(target, cells).drop("_row")
 
 
 def csv_headers(lines: DataFrame) -> DataFrame:
