@@ -135,7 +135,8 @@ def test_formats_by_content(spark, tmp_path):
     got = {r.source_file.rsplit("/", 1)[1]: r.log_type for r in route_files(scan_text(spark, str(tmp_path))).collect()}
     # a pretty-printed document of more than 50 lines does not parse from its head
     assert got == {**{n: n for n in contents if n != "generic_long_json"}, "generic_long_json": "generic", "named.JSONL": "json"}
-    assert detect_formats(scan_text(spark, str(tmp_path / "auth"))).first().auth_score == 3
+    # sshd[, sudo:, Failed password for, Accepted publickey
+    assert detect_formats(scan_text(spark, str(tmp_path / "auth"))).first().auth_score == 4
 
 
 def test_unknown_files_are_judged_by_generic_rules(spark, tmp_path):
