@@ -10,13 +10,13 @@ from vigilake.schema import flag
 
 
 def failures_per_user(events: DataFrame, scope: str = "source_file") -> DataFrame:
-    return events.filter(flag("is_failed_auth") & F.col("username").isNotNull()).groupBy(scope, "username").agg(
+    return events.filter("is_failed_auth and username is not null").groupBy(scope, "username").agg(
         F.count(F.lit(1)).alias("failures")
     )
 
 
 def sudo_commands(events: DataFrame) -> DataFrame:
-    return events.filter(flag("is_sudo")).select("source_file", "seq", "raw")
+    return events.filter("is_sudo").select("source_file", "seq", "raw")
 
 
 def web_exposure(events: DataFrame, scope: str = "source_file") -> DataFrame:
@@ -34,7 +34,7 @@ def privileged_logons(events: DataFrame, scope: str = "source_file") -> DataFram
 
 def admin_actions(events: DataFrame) -> DataFrame:
     """Sensitive actions and failed logins of administrator accounts."""
-    return events.filter(flag("is_admin_user") & (flag("is_sensitive_action") | flag("is_failed_auth")))
+    return events.filter("is_admin_user and (is_sensitive_action or is_failed_auth)")
 
 
 def unruled_event_types(events: DataFrame, scope: str = "source_file") -> DataFrame:

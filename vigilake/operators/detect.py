@@ -68,6 +68,9 @@ def key_profile(events: DataFrame, chosen: list[Rule]) -> DataFrame:
         value = F.coalesce(F.col(name), F.lit("unknown")) if name == "action" else _present(name)
         keys.append(F.when(hit & value.isNotNull(), F.struct(F.lit(name).alias("kind"), value.alias("key"))))
     flags = sorted({r.flag for r in chosen})
+    if all(r.shape != "distinct" for r in chosen):
+        # only hits count; the distinct rule alone also wants a scope's first record
+        events = events.filter(reduce(lambda a, b: a | b, [F.col(f) for f in flags]))
     rows = events.select(
         "scope", "log_type", "seq", "raw", *[flag(f).alias(f) for f in flags],
         F.explode(F.array_compact(F.array(*keys))).alias("k") if other else keys[0].alias("k"),
@@ -160,7 +163,10 @@ def first_hits(events: DataFrame, chosen: list[Rule], k: int) -> DataFrame:
     records per group.
     """
     hit = F.array_compact(F.array(*[F.when(flag(r.flag), F.lit(r.id)) for r in chosen]))
-    rows = events.select("scope", "log_type", "seq", "path", "useragent", F.explode(hit).alias("rule_id"))
+    any_hit = reduce(lambda a, b: a | b, [F.col(r.flag) for r in chosen])
+    rows = events.filter(any_hit).select(
+        "scope", "log_type", "seq", "path", "useragent", F.explode(hit).alias("rule_id")
+    )
     order = Window.partitionBy("scope", "log_type", "rule_id").orderBy("seq")
     return (
         rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -234,9 +240,9 @@ def success_after_failures(events: DataFrame) -> DataFrame:
     both before and after their first failure; only for these is the first success after
     it looked up in the accepted records.
     """
-    known = events.filter(_present("src_ip").isNotNull())
+    known = events.filter("src_ip <> ''")
     failed, accepted = flag("is_failed_auth"), flag("is_accepted_auth")
-    per_address = known.filter(failed | accepted).groupBy("scope", "log_type", "src_ip").agg(
+    per_address = known.filter("is_failed_auth or is_accepted_auth").groupBy("scope", "log_type", "src_ip").agg(
         F.count_if(failed).alias("failures"),
         F.min(F.when(failed, F.col("seq"))).alias("first_failure"),
         F.min(F.when(accepted, F.col("seq"))).alias("first_accept"),
@@ -245,7 +251,7 @@ def success_after_failures(events: DataFrame) -> DataFrame:
     ).filter("last_accept >= first_failure")
     open_ = per_address.filter("first_accept < first_failure").select("scope", "log_type", "src_ip", "first_failure")
     later = (
-        known.filter(accepted).select("scope", "log_type", "src_ip", "seq")
+        known.filter("is_accepted_auth").select("scope", "log_type", "src_ip", "seq")
         .join(open_, ["scope", "log_type", "src_ip"])
         .filter("seq >= first_failure")
         .groupBy("scope", "log_type", "src_ip").agg(F.min("seq").alias("later_accept"))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from vigilake import fixed
 from vigilake.functions import text
 from vigilake.operators.selections import uri_path, uri_query
-from vigilake.schema import flag
 
 IPV4 = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
 
@@ -171,19 +170,19 @@ def hunt_event_table(events: DataFrame, event_ids: list[int]) -> DataFrame:
 
 
 def hunt_auth_failures(events: DataFrame, threshold: int = 5) -> DataFrame:
-    return _counted(events.filter(flag("is_failed_auth")), ["src_ip"], "failures", threshold)
+    return _counted(events.filter("is_failed_auth"), ["src_ip"], "failures", threshold)
 
 
 def hunt_denied(events: DataFrame, threshold: int = 10) -> DataFrame:
-    return _counted(events.filter(flag("is_denied")), ["src_ip"], "denied_events", threshold)
+    return _counted(events.filter("is_denied"), ["src_ip"], "denied_events", threshold)
 
 
 def hunt_error_status(events: DataFrame, threshold: int = 20) -> DataFrame:
-    return _counted(events.filter(flag("is_error_status")), ["src_ip"], "errors", threshold)
+    return _counted(events.filter("is_error_status"), ["src_ip"], "errors", threshold)
 
 
 def hunt_sensitive_actions(events: DataFrame) -> DataFrame:
-    return _newest(events.filter(flag("is_sensitive_action")), host=F.col("host"), username=F.col("username"),
+    return _newest(events.filter("is_sensitive_action"), host=F.col("host"), username=F.col("username"),
                    action=F.col("action"), src_ip=F.col("src_ip"))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions import text
-from vigilake.schema import flag
 
 
 def _lower(words: list[str]) -> list[str]:
@@ -63,4 +62,4 @@ def select_fallback(events: DataFrame, rule_name: str, keywords: list[str] | Non
 
 def select_flag(events: DataFrame, name: str) -> DataFrame:
     """Records that carry a flag."""
-    return events.filter(flag(name))
+    return events.filter(F.col(name))

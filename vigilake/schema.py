@@ -60,5 +60,6 @@ def to_events(df: DataFrame, **derived: Column) -> DataFrame:
 
 
 def flag(name: str) -> Column:
-    """A flag read as false where the record does not carry it."""
+    """A flag read as false where the record does not carry it, for use as a value. Filters
+    take the bare column instead: they drop NULL anyway, and the scan can apply them."""
     return F.coalesce(F.col(name), F.lit(False))

@@ -28,7 +28,7 @@ _FLAGS = {
 
 def selection(rule: str, keywords: list[str] | None = None) -> Column:
     """Flag-based selection of a windowed rule, or any-field keywords where given."""
-    return field_match(keywords) if keywords else flag(_FLAGS[rule])
+    return field_match(keywords) if keywords else F.col(_FLAGS[rule])
 
 
 def windowed_alerts(events: DataFrame, chosen: Column, rule: str, key: str = "src_ip",
@@ -68,7 +68,7 @@ def throttle(alerts: DataFrame, per: str = "1 hour", time: str = "window_start",
 def running_counts(events: DataFrame, rule: str, name: str, threshold: int, scope: str = "source_file") -> DataFrame:
     """Per (scope, address) hits of a flag once they reach the threshold; as a stream, in
     update mode, each change of a count is emitted."""
-    rows = events.filter(flag(name) & F.col("src_ip").isNotNull())
+    rows = events.filter(F.col(name) & F.col("src_ip").isNotNull())
     return rows.groupBy(scope, "src_ip").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= threshold).select(
         F.lit(rule).alias("rule_name"), scope, "src_ip", "hits"
     )
@@ -81,7 +81,7 @@ def running_success_after_failures(events: DataFrame, scope: str = "source_file"
     streaming aggregation; no Python state and no order of arrival is needed.
     """
     failed, accepted = flag("is_failed_auth"), flag("is_accepted_auth")
-    rows = events.filter((failed | accepted) & F.col("src_ip").isNotNull())
+    rows = events.filter("(is_failed_auth or is_accepted_auth) and src_ip is not null")
     state = rows.groupBy(scope, "src_ip").agg(
         F.count_if(failed).alias("failures"),
         F.min(F.when(failed, F.col("seq"))).alias("first_failure"),
