@@ -1,9 +1,9 @@
 """One nested record -> ordered (key, cleaned key, value) entries.
 
-Spark's own JSON and XML functions need a schema, or give back a variant whose keys are
-sorted; neither keeps the document order that decides between two keys with the same
-last part. So this one step runs in Arrow batches; splitting, cleaning, aliasing and
-flags around it are built-in expressions.
+Document order decides between two keys with the same last part; Spark's own JSON and XML
+functions need a schema or sort the keys, so this step runs in Arrow batches. Records are
+read as streams of parser events and unfolded with an explicit stack: their depth has no
+limit. A record that cannot be unfolded keeps its raw text and has no entries.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from __future__ import annotations
 import json
 import re
 import sys
-import xml.etree.ElementTree as ElementTree
-from collections.abc import Iterator
-from functools import lru_cache
+from collections import Counter
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -28,125 +27,190 @@ ENTRIES = T.ArrayType(T.StructType([
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _walk(value, key: str) -> Iterator[tuple[str, object]]:
-    if isinstance(value, dict):
-        for name, child in value.items():
-            yield from _walk(child, f"{key}.{name}" if key else str(name))
-    elif isinstance(value, list):
-        for position, child in enumerate(value):
-            yield from _walk(child, f"{key}[{position}]" if key else str(position))
-    else:
-        yield key, value
-
-
-@lru_cache(maxsize=100_000)
-def _clean(key: str) -> str:
-    """Same rule as ``text.clean_key``; keys repeat from record to record."""
-    return re.sub(r"[\s\-]+", "_", key.rpartition(".")[2].strip().lower())
+def unfold(key, value, members) -> list:
+    """Leaves below ``value`` in document order. ``members(key, value)`` lists the (key, value)
+    pairs one level down, or is None for a leaf."""
+    leaves, todo = [], [(key, value)]
+    while todo:
+        key, value = todo.pop()
+        below = members(key, value)
+        if below is None:
+            leaves.append((key, value))
+        else:
+            todo.extend(reversed(below))
+    return leaves
 
 
-def _batch(records) -> pa.Array:
+def json_members(key, value):
+    if isinstance(value, dict):
+        prefix = f"{key}." if key else ""
+        return [(prefix + name, child) for name, child in value.items()]
+    if isinstance(value, list):
+        return [(f"{key}[{at}]" if key else str(at), child) for at, child in enumerate(value)]
+    return None
+
+
+class Node:
+    """An XML element: local name, attributes without namespace declarations, text before
+    the first child, children, and where it stands in the document's bytes."""
+
+    __slots__ = ("name", "attributes", "text", "children", "start", "stop", "filled")
+
+    def __init__(self, name, attributes, start):
+        self.name = name.rpartition(":")[2]
+        self.attributes = {k: v for k, v in attributes.items() if k != "xmlns" and not k.startswith("xmlns:")}
+        self.text, self.children, self.start, self.stop, self.filled = [], [], start, start, False
+
+
+def parse(data: bytes, depth: int | None = None) -> Node | None:
+    """Root of a document; below ``depth`` nothing is kept. None where it is not well formed."""
+    reader, top, path = expat.ParserCreate("utf-8"), Node("", {}, 0), []
+    reader.buffer_text = True
+    path.append(top)
+
+    def begin(name, attributes):
+        node = Node(name, attributes, reader.CurrentByteIndex)
+        path[-1].filled = True
+        if depth is None or len(path) <= depth:
+            path[-1].children.append(node)
+        path.append(node)
+
+    def end(_):
+        node = path.pop()
+        node.stop = reader.CurrentByteIndex
+
+    def characters(text):
+        path[-1].filled = True
+        if not path[-1].children:
+            path[-1].text.append(text)
+
+    reader.StartElementHandler, reader.EndElementHandler, reader.CharacterDataHandler = begin, end, characters
+    try:
+        reader.Parse(data, True)
+    except expat.ExpatError:
+        return None
+    return top.children[0]
+
+
+def xml_members(key, node):
+    """Attributes, then children by first appearance of their tag; a tag that comes again is a list."""
+    if not isinstance(node, Node):
+        return None
+    own = "".join(node.text).strip()
+    if not node.children and not node.attributes:
+        return [(key, own)]
+    prefix = f"{key}." if key else ""
+    found = [(f"{prefix}@{name}", value) for name, value in node.attributes.items()]
+    if not node.children:
+        return found + ([(f"{prefix}#text", own)] if own else [])
+    times, seen, by_tag = Counter(child.name for child in node.children), Counter(), {}
+    for child in node.children:
+        place = f"[{seen[child.name]}]" if times[child.name] > 1 else ""
+        seen[child.name] += 1
+        by_tag.setdefault(child.name, []).append((f"{prefix}{child.name}{place}", child))
+    return found + [pair for pairs in by_tag.values() for pair in pairs]
+
+
+def event_entries(event: Node) -> list:
+    """A Windows event: named data items by their names, every other section unfolded."""
+    out = []
+    for section in event.children:
+        if section.name not in ("EventData", "UserData"):
+            out += unfold(section.name, section, xml_members)
+            continue
+        todo = [section]
+        while todo:
+            node = todo.pop()
+            if node.name == "Data" and node.attributes.get("Name"):
+                out.append((node.attributes["Name"], "".join(node.text).strip()))
+            todo.extend(reversed(node.children))
+    return out
+
+
+def sound(value) -> str | None:
+    """Text that UTF-8 can hold: halves of surrogate pairs become question marks."""
+    return None if value is None else str(value).encode("utf-8", "replace").decode("utf-8")
+
+
+def to_arrow(records: list) -> pa.Array:
     """Pairs per record (None = no record) -> one Arrow array of entry lists."""
-    offsets, keys, values, missing = [0], [], [], []
+    offsets, keys, values, missing, cleaned = [0], [], [], [], {}
     for pairs in records:
         missing.append(pairs is None)
         # a full key seen twice keeps its first place and takes the later value
         for key, value in dict(pairs or ()).items():
+            key = sound(key)
+            if key not in cleaned:  # same rule as text.clean_key; keys repeat from record to record
+                cleaned[key] = re.sub(r"[\s\-]+", "_", key.rpartition(".")[2].strip().lower())
             keys.append(key)
-            values.append(None if value is None else str(value))
+            values.append(sound(value))
         offsets.append(len(keys))
     entries = pa.StructArray.from_arrays(
-        [pa.array(keys, pa.string()), pa.array(map(_clean, keys), pa.string()), pa.array(values, pa.string())],
+        [pa.array(keys, pa.string()), pa.array([cleaned[k] for k in keys], pa.string()), pa.array(values, pa.string())],
         names=["key", "name", "value"],
     )
-    return pa.ListArray.from_arrays(
-        pa.array(offsets, pa.int32()), entries, mask=pa.array(missing, pa.bool_())
-    )
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries, mask=pa.array(missing, pa.bool_()))
+
+
+def json_record(document: str | None):
+    try:
+        record = json.loads(document)
+    except RecursionError:
+        return []
+    except (TypeError, ValueError):
+        return None
+    return unfold("", record, json_members) if isinstance(record, dict) else None
+
+
+def xml_record(document: str | None):
+    root = None if document is None else parse(document.encode("utf-8", "replace"))
+    if root is None:
+        return None
+    return event_entries(root) if root.name.lower() == "event" else unfold("", root, xml_members)
+
+
+def whole(data: bytes, node: Node) -> bytes:
+    """Bytes of an element: ``stop`` is where its end tag begins, or the end of ``<name/>``."""
+    text = data[node.start:node.stop]
+    return text if not node.filled and text.endswith(b"/>") else data[node.start:data.index(b">", node.stop) + 1]
+
+
+def record_texts(document: str | None):
+    """Texts of the record elements of a whole document, as they stand in it."""
+    if document is None:
+        return None
+    body = document.strip().lstrip("﻿").encode("utf-8", "replace")
+    # a file of sibling elements is read inside a root of our own
+    bare = re.sub(rb"^\s*<\?xml[^>]*\?>", b"", body)
+    for data in (body, b"<root>" + bare + b"</root>"):
+        root = parse(data, depth=2)
+        if root is None:
+            continue
+        if root.name.lower() == "event":
+            return [body.decode("utf-8")]
+        if not root.children:
+            return []
+        wanted = Counter(child.name for child in root.children).most_common(1)[0][0]  # the first seen of equals
+        return [whole(data, c).decode("utf-8") for c in root.children if c.name == wanted]
+    return None
 
 
 @F.arrow_udf(ENTRIES)
 def json_entries(documents: pa.Array) -> pa.Array:
     """Entries of a JSON object text; NULL for anything that is not one."""
-    def one(document):
-        try:
-            record = json.loads(document)
-        except (TypeError, ValueError):
-            return None
-        return _walk(record, "") if isinstance(record, dict) else None
-
-    return _batch(map(one, documents.to_pylist()))
-
-
-def _name(tag: str) -> str:
-    return tag.rpartition("}")[2]
-
-
-def _content(element):
-    """Element -> text, or a dict of attributes, own text and children."""
-    inner = {f"@{name}": value for name, value in element.attrib.items()}
-    if len(element) == 0:
-        own = (element.text or "").strip()
-        if not inner:
-            return own
-        return inner | ({"#text": own} if own else {})
-    repeated: dict[str, list] = {}
-    for child in element:
-        repeated.setdefault(_name(child.tag), []).append(_content(child))
-    for name, values in repeated.items():
-        inner[name] = values[0] if len(values) == 1 else values
-    return inner
-
-
-def _windows_event(event) -> Iterator[tuple[str, object]]:
-    for section in event:
-        name = _name(section.tag)
-        if name in ("EventData", "UserData"):
-            named = (d for d in section.iter() if _name(d.tag) == "Data" and d.get("Name"))
-            yield from ((d.get("Name"), (d.text or "").strip()) for d in named)
-        else:
-            yield from _walk(_content(section), name)
+    return to_arrow([json_record(d) for d in documents.to_pylist()])
 
 
 @F.arrow_udf(ENTRIES)
 def xml_entries(documents: pa.Array) -> pa.Array:
     """Entries of one XML record; NULL where it does not parse."""
-    def one(document):
-        try:
-            record = ElementTree.fromstring(document)
-        except (TypeError, ElementTree.ParseError):
-            return None
-        if _name(record.tag).lower() == "event":
-            return _windows_event(record)
-        return _walk(_content(record), "")
-
-    return _batch(map(one, documents.to_pylist()))
+    return to_arrow([xml_record(d) for d in documents.to_pylist()])
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def xml_children(documents: pa.Array) -> pa.Array:
     """Record element texts of one whole document; NULL where it does not parse."""
-    def one(document):
-        if document is None:
-            return None
-        body = document.strip().lstrip("﻿")
-        root = None
-        for attempt in (body, f"<root>{body}</root>"):
-            try:
-                root = ElementTree.fromstring(attempt)
-                break
-            except ElementTree.ParseError:
-                continue
-        if root is None:
-            return None
-        if _name(root.tag).lower() == "event":
-            return [body]
-        names = [_name(child.tag) for child in root]
-        if not names:
-            return []
-        wanted = max(dict.fromkeys(names), key=names.count)
-        return [ElementTree.tostring(c, encoding="unicode") for c, n in zip(root, names) if n == wanted]
-
-    return pa.array(map(one, documents.to_pylist()), pa.list_(pa.string()))
+    return pa.array([record_texts(d) for d in documents.to_pylist()], pa.list_(pa.string()))
 
 
 # a filter on the result must not be pushed below these helpers, it would run them twice
