@@ -143,3 +143,37 @@ def test_unknown_files_are_judged_by_generic_rules(spark, tmp_path):
     (tmp_path / "x.txt").write_text("hello\n")
     assert load_events(spark, str(tmp_path)).first().log_type == "generic"
     assert events_for(spark, "auth", str(tmp_path)).first().log_type == "auth"
+
+
+def test_names_with_blanks_and_pattern_signs(spark, tmp_path):
+    line = "Jan 10 03:0{}:00 web1 sshd[1]: Failed password for root from 10.0.0.{} port 22 ssh2\n"
+    for n, name in enumerate(["a b.log", "a[1].log", "50%.log", "x{y}.log"]):
+        (tmp_path / name).write_text(line.format(n, n))
+    assert sorted(r.src_ip for r in load_events(spark, str(tmp_path)).collect()) == [f"10.0.0.{n}" for n in range(4)]
+
+
+def test_directories_without_a_line(spark, tmp_path):
+    (tmp_path / "empty.log").write_text("")
+    assert load_events(spark, str(tmp_path)).collect() == []
+
+
+def test_blocks_with_mixed_line_ends(spark, tmp_path):
+    block = "Event ID: 4625{0}Account Name: u{1}{0}Source Network Address: 10.0.0.{1}{0}"
+    text = block.format("\n", 1) + "\n" + block.format("\r\n", 2) + "\r\n" + block.format("\n", 3) + "\n\n" + block.format("\n", 4)
+    (tmp_path / "w.txt").write_bytes(text.encode())
+    assert [i for i, in rows(read_windows_events(spark, str(tmp_path)), "event_id")] == [4625] * 4
+
+
+def test_prefixed_event_xml(spark, tmp_path):
+    event = '<e:Event xmlns:e="u"><e:System><e:EventID>{}</e:EventID></e:System></e:Event>'
+    (tmp_path / "e.xml").write_text('<e:Events xmlns:e="u">' + event.format(4625) + event.format(1102) + "</e:Events>")
+    assert [i for i, in rows(read_xml_events(spark, str(tmp_path)), "event_id")] == [4625, 1102]
+
+
+def test_json_with_repeated_keys_and_lists_on_lines(spark, tmp_path):
+    (tmp_path / "doc.json").write_text('{\n"Records": [\n{"eventName": "A"},\n{"ip": "1.1.1.1", "ip": "2.2.2.2"}\n]}')
+    (tmp_path / "lists.jsonl").write_text('{broken\n[{"n": 1}, {"n": 2}]\n{"n": 3, "n": 4}\n[{"n": 5}]\n')
+    found = read_json_events(spark, str(tmp_path)).orderBy("source_file", "seq").collect()
+    assert [r.fields.get("n") or r.fields.get("ip") or r.fields.get("eventName") for r in found] == ["A", "2.2.2.2", "1", "2", "4", "5"]
+    lists = [r.seq for r in found if "lists" in r.source_file]
+    assert len(set(lists)) == len(lists)

@@ -15,9 +15,9 @@ from vigilake.sources.auth import auth_events
 from vigilake.sources.delimited import read_csv_events
 from vigilake.sources.formats import route_files
 from vigilake.sources.json_docs import read_json_events
-from vigilake.sources.lines import scan_text
+from vigilake.sources.lines import as_paths, scan_text
 from vigilake.sources.web import web_events
-from vigilake.sources.windows import win_block_events, win_layout, win_tabular_events
+from vigilake.sources.windows import cut_blocks, win_block_events, win_files, win_tabular_events
 from vigilake.sources.xml_docs import read_xml_events
 
 
@@ -39,25 +39,24 @@ def events_for(spark: SparkSession, log_type: str, paths, default_year: int | No
 
 
 def read_windows_events(spark: SparkSession, paths) -> DataFrame:
-    """Windows text files of both layouts. One job finds layout and line ends per file."""
+    """Windows text files of both layouts. One job finds layout and usual line ends per file."""
     # cut at line feeds only, so that a carriage return stays visible
     lines = scan_text(spark, paths, "\n")
-    layouts = win_layout(lines).join(
-        lines.groupBy("source_file").agg(F.bool_or(F.col("value").endswith("\r")).alias("crlf")), "source_file"
-    )
+    layouts = win_files(lines)
     parts = []
     for (layout, crlf), names in _files_by(layouts, "layout", "crlf").items():
         if layout == "tabular":
             parts.append(win_tabular_events(scan_text(spark, names)))
         else:
-            parts.append(win_block_events(scan_text(spark, names, "\r\n\r\n" if crlf else "\n\n")))
+            blocks = scan_text(spark, names, "\r\n\r\n" if crlf else "\n\n")
+            parts.append(win_block_events(cut_blocks(blocks)))
     return reduce(DataFrame.unionByName, parts) if parts else win_tabular_events(scan_text(spark, paths))
 
 
 def _files_by(files: DataFrame, *keys: str) -> dict[tuple, list[str]]:
     """File names per group. Names only: the driver lists them for the scan anyway."""
     rows = files.groupBy(*keys).agg(F.collect_list("source_file").alias("names")).collect()
-    return {tuple(r[k] for k in keys): r["names"] for r in rows}
+    return {tuple(r[k] for k in keys): as_paths(r["names"]) for r in rows}
 
 
 def load_events(spark: SparkSession, paths, default_year: int | None = None) -> DataFrame:
@@ -66,7 +65,8 @@ def load_events(spark: SparkSession, paths, default_year: int | None = None) ->
     configure(spark)
     groups = _files_by(route_files(scan_text(spark, paths, head=True)), "log_type")
     parts = [events_for(spark, t, names, default_year) for (t,), names in sorted(groups.items())]
-    return reduce(DataFrame.unionByName, parts)
+    # a directory without a line has no events
+    return reduce(DataFrame.unionByName, parts) if parts else events_for(spark, "auth", paths, default_year)
 
 
 def analyze(spark: SparkSession, paths, output: str | None = None, formats: str = "sigma",
@@ -85,5 +85,7 @@ def analyze(spark: SparkSession, paths, output: str | None = None, formats: str
     findings = written(filter_severity(detect_all(stored, thresholds), severity), "findings")
     if output:
         catalog.write_findings(findings, f"{base}/findings")
-        catalog.write_rules(catalog.rules_table(findings, formats), f"{base}/rules")
+        rules = catalog.rules_table(findings, formats)
+        catalog.write_rules(rules, f"{base}/rules")
+        catalog.write_rule_texts(rules, f"{base}/rule_texts")
     return findings

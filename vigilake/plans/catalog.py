@@ -54,7 +54,8 @@ def detection() -> Column:
         F.lit("cs-uri-query|contains|all"), F.slice(keywords, 1, 3), F.lit("cs-uri-query|contains"), keywords
     )
     fields = F.create_map(F.lit("fields|contains"), keywords)
-    brute_force = has_ids & name.contains("brute_force")
+    counted = name.contains("brute_force") | ((source == "windows") & name.contains("spray"))
+    brute_force = has_ids & F.coalesce(counted, F.lit(False))
 
     def over(key: str) -> Column:
         return F.concat(F.lit(f"selection | count() by {key} > "), F.coalesce(threshold, F.lit(5)).cast("string"))
@@ -113,7 +114,7 @@ def search_text(day: Column) -> Column:
         F.lit("\n| *** Cron Schedule  : */15 * * * *  (every 15 minutes)\n| *** Severity       : "), level,
         F.lit("\n| *** Risk Score     : "), text.risk_score(F.col("severity")).cast("string"),
         F.lit("/10\n| *** MITRE ATT&CK   : "), mitre,
-        F.lit("\n| *** Throttle       : 1 alert per source per 1 hour\n"),
+        F.lit("\n| *** Throttle       : 1 alert per source per 1 hour\n" + fixed.ALERT_CLOSING),
     )
 
 
@@ -155,10 +156,25 @@ def rules_table(findings: DataFrame, formats: str = "sigma", day: str | None = N
     Findings are computed once and spread over the formats."""
     wanted = ["sigma", "splunk"] if formats == "both" else [formats]
     spread = findings.withColumn("format", F.explode(F.array(*[F.lit(f) for f in wanted])))
-    body = F.when(F.col("format") == "sigma", F.to_json(sigma_rule(_day(day)))).otherwise(search_text(_day(day)))
+    body = F.when(F.col("format") == "sigma", numbered(F.to_json(sigma_rule(_day(day))))).otherwise(search_text(_day(day)))
     return spread.select("scope", "log_type", "rule_name", "format", body.alias("body"))
 
 
+def numbered(body: Column) -> Column:
+    """Event ids of a rule text as numbers: one id bare, several as a list."""
+    ids = F.regexp_extract(body, r'"EventID":\[("\d+"(?:,"\d+")*)\]', 1)
+    bare = F.replace(ids, F.lit('"'), F.lit(""))
+    value = F.when(F.instr(bare, ",") > 0, F.concat(F.lit("["), bare, F.lit("]"))).otherwise(bare)
+    return F.when(ids == "", body).otherwise(F.replace(
+        body, F.concat(F.lit('"EventID":['), ids, F.lit("]")), F.concat(F.lit('"EventID":'), value)))
+
+
+def write_rule_texts(rules: DataFrame, path: str) -> None:
+    """Rule bodies as text files under ``format=…/rule_name=…``, an empty line after each."""
+    rules.select("format", "rule_name", F.col("body").alias("value")).write.mode("overwrite").partitionBy(
+        "format", "rule_name").option("lineSep", "\n\n").text(path)
+
+
 def write_rules(rules: DataFrame, path: str) -> None:
     """Rules as text rows under ``format=…/rule_name=…``; a new run replaces the old."""
     rules.write.mode("overwrite").partitionBy("format", "rule_name").parquet(path)

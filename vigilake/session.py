@@ -25,11 +25,14 @@ _OWN_FOLDER = "vigilake.shared.dir"
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in local tests, a temporary folder is made and
-    remembered in the session.
+    Only where that setting is absent and the master is local, as in tests, a temporary
+    folder is made and remembered in the session; elsewhere executors could not share it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_FOLDER, None)
     if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set(_OWN_FOLDER, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from vigilake import fixed
 from vigilake.functions import text
 from vigilake.functions.flatten import json_entries
 from vigilake.functions.normalize import normalize
-from vigilake.sources.lines import scan_text
+from vigilake.sources.lines import as_paths, scan_text, spaced
 
 BOM = "﻿"
 _TEXTS = "array<string>"
@@ -24,18 +24,23 @@ def _list_members(value: Column) -> Column:
     return F.when(value.startswith("["), F.from_json(value, _TEXTS))
 
 
+def parses(value: Column) -> Column:
+    """Whether a text is a JSON object or list, of any size and with any keys."""
+    return F.coalesce(_is_object(value), F.lit(False)) | F.coalesce(_list_members(value).isNotNull(), F.lit(False))
+
+
 def document_members(value: Column) -> Column:
     """Record texts of a whole document: members of the list, of the first wrapper key
     that holds a list, or the object itself."""
-    parsed = F.try_parse_json(value)
-    top = F.from_json(value, "map<string,string>")
-    wrapped = [
-        F.when(
-            F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant")).startswith("ARRAY"),
-            F.from_json(F.try_element_at(top, F.lit(key)), _TEXTS),
-        )
-        for key in fixed.JSON_WRAPPER_KEYS
-    ]
+    # a key that holds no list reads as NULL; of a key given twice the later one counts
+    # keys that differ in case only cannot be fields of one schema
+    rest, tops = list(fixed.JSON_WRAPPER_KEYS), {}
+    while rest:
+        group = {key.lower(): key for key in reversed(rest)}.values()
+        parsed = F.from_json(value, ", ".join(f"`{key}` {_TEXTS}" for key in group))
+        tops |= {key: parsed[key] for key in group}
+        rest = [key for key in rest if key not in tops]
+    wrapped = [tops[key] for key in fixed.JSON_WRAPPER_KEYS]
     return F.when(
         _is_object(value), F.coalesce(*wrapped, F.array(value))
     ).otherwise(_list_members(value))
@@ -71,15 +76,17 @@ def json_document_events(documents: DataFrame, log_type: str = "json") -> DataFr
 
 
 def json_layout(lines: DataFrame) -> DataFrame:
-    """``(source_file, layout)``: ``lines`` if the first non-blank line parses by itself and
-    more follow (such a file cannot be one document), else ``document``."""
+    """``(source_file, layout)``: ``lines`` by name (``.jsonl``, ``.ndjson``) or if the first
+    non-blank line parses by itself and more follow (such a file cannot be one document),
+    else ``document``."""
     filled = lines.withColumn("value", text.strip(F.ltrim("value", F.lit(BOM)))).filter("value <> ''")
     first = filled.groupBy("source_file").agg(
         F.min_by("value", "seq").alias("first"), F.count(F.lit(1)).alias("n")
     )
-    whole = F.try_parse_json(text.strip(F.rtrim("first", F.lit(",")))).isNotNull()
+    whole = parses(text.strip(F.rtrim("first", F.lit(","))))
+    by_name = F.lower("source_file").rlike(r"\.(jsonl|ndjson)$")
     return first.select(
-        "source_file", F.when(whole & (F.col("n") > 1), "lines").otherwise("document").alias("layout")
+        "source_file", F.when(by_name | (whole & (F.col("n") > 1)), "lines").otherwise("document").alias("layout")
     )
 
 
@@ -89,7 +96,7 @@ def read_json_events(spark: SparkSession, paths, layout: str | None = None, log_
     driver lists anyway, come back from it. A document that does not parse as a whole is
     read line by line."""
     if layout == "lines":
-        return json_line_events(scan_text(spark, paths), log_type)
+        return json_line_events(spaced(scan_text(spark, paths)), log_type)
     documents = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("source_file"), F.lit(0).cast("bigint").alias("seq"), "value"
     )
@@ -99,15 +106,15 @@ def read_json_events(spark: SparkSession, paths, layout: str | None = None, log_
     files = dict(map(tuple, found))
     parts = []
     if files.get("lines"):
-        parts.append(json_line_events(scan_text(spark, files["lines"]), log_type))
+        parts.append(json_line_events(spaced(scan_text(spark, as_paths(files["lines"]))), log_type))
     if files.get("document"):
-        whole = spark.read.text(files["document"], wholetext=True).select(
+        whole = spark.read.text(as_paths(files["document"]), wholetext=True).select(
             F.col("_metadata.file_path").alias("source_file"), F.lit(0).cast("bigint").alias("seq"), "value"
         )
-        parses = F.try_parse_json(text.strip(F.ltrim(text.strip(F.col("value")), F.lit(BOM)))).isNotNull()
-        parts.append(json_document_events(whole.filter(parses), log_type))
-        broken = whole.filter(~parses).select("source_file", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("at", "value"))
-        parts.append(json_line_events(broken.select("source_file", F.col("at").cast("bigint").alias("seq"), "value"), log_type))
+        good = parses(text.strip(F.ltrim(text.strip(F.col("value")), F.lit(BOM))))
+        parts.append(json_document_events(whole.filter(good), log_type))
+        broken = whole.filter(~good).select("source_file", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("at", "value"))
+        parts.append(json_line_events(spaced(broken.select("source_file", F.col("at").cast("bigint").alias("seq"), "value")), log_type))
     if not parts:
         return json_line_events(scan_text(spark, paths), log_type)
     events = parts[0]

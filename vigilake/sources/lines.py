@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,18 @@ def sequence() -> Column:
     return F.col("_metadata.file_block_start") + row
 
 
+def spaced(lines: DataFrame) -> DataFrame:
+    """Lines with room between their numbers for the parts of each. Numbers of lines are
+    byte positions at most, so 20 bits for the place in a line leave room for 8 TB files."""
+    return lines.withColumn("seq", F.col("seq") * (1 << 20))
+
+
+def as_paths(names) -> list[str]:
+    """File names from ``_metadata.file_path``, which are URL-encoded, as paths for a reader,
+    which reads some characters as patterns."""
+    return [re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(n)) for n in names]
+
+
 def scan_text(spark: SparkSession, paths, line_sep: str | None = None, head: bool = False) -> DataFrame:
     """Lines as they are, with file and order; splittable for uncompressed files.
 

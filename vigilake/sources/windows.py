@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vigilake import fixed
 from vigilake.functions import flags, text
 from vigilake.schema import to_events
-from vigilake.sources.lines import clean_lines
+from vigilake.sources.lines import clean_lines, spaced
 
 
 def _event_ts(stamp):
@@ -41,6 +41,13 @@ def win_tabular_events(lines: DataFrame) -> DataFrame:
     return to_events(flags.with_event_id_flags(parsed), log_type=F.lit("windows"))
 
 
+def cut_blocks(pieces: DataFrame) -> DataFrame:
+    """Pieces of a file cut at its usual empty lines -> blocks; the other kind of line end,
+    where a file mixes both, cuts inside a piece."""
+    parts = spaced(pieces).select("source_file", "seq", F.posexplode(F.split("value", r"\r?\n\r?\n")).alias("at", "value"))
+    return parts.select("source_file", (F.col("seq") + F.col("at")).alias("seq"), "value")
+
+
 def win_block_events(blocks: DataFrame) -> DataFrame:
     """Events of key/value blocks, one block per row (text cut at empty lines)."""
     value = F.col("value")
@@ -64,7 +71,17 @@ def win_block_events(blocks: DataFrame) -> DataFrame:
 
 def win_layout(lines: DataFrame) -> DataFrame:
     """``(source_file, layout)``: ``blocks`` where the file holds a block label anywhere."""
+    return _layouts(lines).drop("crlf")
+
+
+def win_files(lines: DataFrame) -> DataFrame:
+    """``win_layout`` and ``crlf``: whether most lines end in a carriage return."""
+    return _layouts(lines)
+
+
+def _layouts(lines: DataFrame) -> DataFrame:
     labelled = text.contains_any(F.col("value"), fixed.WIN_BLOCK_MARKERS)
     return lines.groupBy("source_file").agg(
-        F.when(F.bool_or(labelled), "blocks").otherwise("tabular").alias("layout")
+        F.when(F.bool_or(labelled), "blocks").otherwise("tabular").alias("layout"),
+        (2 * F.count_if(F.col("value").endswith("\r")) > F.count(F.lit(1))).alias("crlf"),
     )

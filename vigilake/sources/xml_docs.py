@@ -11,7 +11,7 @@ from vigilake.functions import text
 from vigilake.functions.flatten import xml_children, xml_entries
 from vigilake.functions.normalize import normalize
 from vigilake.sources.formats import head_lines
-from vigilake.sources.lines import scan_text
+from vigilake.sources.lines import as_paths, scan_text
 
 EVENT_END = "</Event>"
 
@@ -22,7 +22,7 @@ def xml_record_events(records: DataFrame, log_type: str = "xml") -> DataFrame:
     return normalize(flat.select("source_file", "seq", F.col("value").alias("raw"), "entries"), log_type)
 
 
-def event_records(pieces: DataFrame) -> DataFrame:
+def event_records(pieces: DataFrame, end: str = EVENT_END) -> DataFrame:
     """Pieces cut at the end tag of ``Event`` -> one event element per row.
 
     Works for rooted files and for bare sibling events alike: what stands before the
@@ -31,7 +31,7 @@ def event_records(pieces: DataFrame) -> DataFrame:
     """
     element = F.regexp_extract("value", r"(?s)<(?:\w+:)?Event(?:\s[^>]*)?>.*", 0)
     return pieces.withColumn("value", element).filter("value <> ''").withColumn(
-        "value", F.concat("value", F.lit(EVENT_END))
+        "value", F.concat("value", F.lit(end))
     )
 
 
@@ -45,28 +45,34 @@ def xml_document_events(documents: DataFrame, log_type: str = "xml") -> DataFram
 
 
 def xml_kinds(lines: DataFrame) -> DataFrame:
-    """``(source_file, kind)``: ``event`` where the file's first element other than a
-    root ``Events`` is an event, else ``document``."""
+    """``(source_file, kind, tag)``: ``event`` where the file's first element other than a
+    root ``Events`` is an event, else ``document``; and that element's name with its prefix."""
     tag = F.regexp_extract(
         F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda s: s["value"])),
-        r"(?s)^\W*(?:<[?!][^>]*>\s*)*(?:<(?:\w+:)?Events\b[^>]*>\s*)?<(?:\w+:)?(\w+)", 1,
+        r"(?s)^\W*(?:<[?!][^>]*>\s*)*(?:<(?:\w+:)?Events\b[^>]*>\s*)?<((?:\w+:)?\w+)", 1,
     )
     first = lines.filter(text.strip(F.col("value")) != "")
-    return first.groupBy("source_file").agg(F.when(tag == "Event", "event").otherwise("document").alias("kind"))
+    return first.groupBy("source_file").agg(tag.alias("tag")).select(
+        "source_file", F.when(F.col("tag").rlike(r"^(\w+:)?Event$"), "event").otherwise("document").alias("kind"), "tag"
+    )
 
 
-def read_xml_events(spark: SparkSession, paths, kind: str | None = None, log_type: str = "xml") -> DataFrame:
+def read_xml_events(spark: SparkSession, paths, kind: str | None = None, log_type: str = "xml",
+                    tag: str = "Event") -> DataFrame:
     """Events of XML files. ``kind='event'`` cuts the files at event end tags, which splits
     large files over tasks; ``kind='document'`` reads a file as one row. Without it one
     small job over the head of each file decides."""
     if kind == "event":
-        return xml_record_events(event_records(scan_text(spark, paths, EVENT_END)), log_type)
+        end = f"</{tag}>"
+        return xml_record_events(event_records(scan_text(spark, paths, end), end), log_type)
     if kind == "document":
         documents = spark.read.text(paths, wholetext=True).select(
             F.col("_metadata.file_path").alias("source_file"), F.lit(0).cast("bigint").alias("seq"), "value"
         )
         return xml_document_events(documents, log_type)
-    found = xml_kinds(head_lines(scan_text(spark, paths, head=True))).groupBy("kind").agg(F.collect_list("source_file")).collect()
-    files = dict(map(tuple, found))
-    parts = [read_xml_events(spark, names, kind, log_type) for kind, names in sorted(files.items())]
+    kinds = xml_kinds(head_lines(scan_text(spark, paths, head=True)))
+    # one reader per end tag; documents are read alike whatever their tags
+    tag = F.when(F.col("kind") == "event", F.col("tag")).otherwise("")
+    found = kinds.groupBy("kind", tag.alias("tag")).agg(F.collect_list("source_file").alias("names")).collect()
+    parts = [read_xml_events(spark, as_paths(r["names"]), r["kind"], log_type, r["tag"]) for r in sorted(found)]
     return reduce(DataFrame.unionByName, parts) if parts else read_xml_events(spark, paths, "event", log_type)

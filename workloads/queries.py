@@ -530,7 +530,7 @@ register("r5_splunk_searches", lambda logs: catalog.splunk_searches(detect.detec
  CASE rule_name WHEN 'generic_repeated_auth_failures' THEN 'Repeated Authentication Failures from Single Source' WHEN 'generic_block_deny_surge' THEN 'High Volume of Denied/Blocked Events from Single Source' ELSE 'High Volume of Error Responses from Single Source' END AS title FROM found)
 SELECT scope, rule_name, search, '| *** Vigilake Auto-Generated Splunk Search ***' || chr(10) || '| *** Rule: ' || title || chr(10) || '| *** Severity: ' || level || chr(10) || '| *** MITRE: ' || mitre || chr(10) || '| *** Generated: {DAY}' || chr(10) || chr(10) ||
  'index=* sourcetype=csv_log' || {_GENERIC_SEARCH} || chr(10) || chr(10) || '| *** === Alert Configuration ===' || chr(10) || '| *** Alert Name     : Vigilake - ' || title || chr(10) || '| *** Cron Schedule  : */15 * * * *  (every 15 minutes)' || chr(10) ||
- '| *** Severity       : ' || level || chr(10) || '| *** Risk Score     : ' || risk || '/10' || chr(10) || '| *** MITRE ATT&CK   : ' || mitre || chr(10) || '| *** Throttle       : 1 alert per source per 1 hour' || chr(10) AS body FROM texts""")
+ '| *** Severity       : ' || level || chr(10) || '| *** Risk Score     : ' || risk || '/10' || chr(10) || '| *** MITRE ATT&CK   : ' || mitre || chr(10) || '| *** Throttle       : 1 alert per source per 1 hour' || chr(10) || '| ***' || chr(10) || '| *** To deploy: Splunk > Settings > Searches & Reports > New Report' || chr(10) || '| *** Paste the SPL above and configure the alert trigger.' || chr(10) AS body FROM texts""")
 register("r6_formats", lambda logs: catalog.rules_table(_auth_findings(logs), "both", DAY).select("scope", "rule_name", "format", (F.length("body") > 100).alias("filled")),
          _auth_sql("SELECT scope, rule_name, unnest(['sigma', 'splunk']) AS format, true AS filled FROM found"))
 
