@@ -22,6 +22,7 @@ from vigilake.sources.lines import clean_lines
 from vigilake.sources.windows import win_layout
 from vigilake.streaming import alerts
 from workloads import oracle
+from workloads.files import FileLogs, directory_counts
 from workloads.logs import Logs
 from workloads.oracle import keyed, sql, total
 
@@ -653,3 +654,14 @@ register("w5_stream_counts", _stream_counts,
 register("w5_stream_success_after_failures", _stream_success,
          sql("auth", """SELECT scope AS source_file, src_ip, count(*) FILTER (is_failed_auth) AS failures, arg_max(raw, seq) FILTER (is_accepted_auth) AS sample_entry FROM auth WHERE src_ip IS NOT NULL GROUP BY ALL
 HAVING max(seq) FILTER (is_accepted_auth) >= min(seq) FILTER (is_failed_auth)"""))
+
+# --- the readers on real files: same results, but for the line numbers ---------------
+_ON_FILES = ["src1_text_lines", "src2_auth_events", "src3_web_events", "src4_win_tabular", "src5_win_blocks", "src7_csv_events",
+             "src8_json_lines", "src8_json_documents", "src9_xml_events", "src10_windows_event_xml"]
+for _name in _ON_FILES:
+    register(f"{_name}_files", lambda logs, run=QUERIES[_name]: run(FileLogs(logs.spark, logs.sf_dir)).drop("seq"),
+             f"SELECT * EXCLUDE (seq) FROM ({SQL[_name]}) AS t")
+register("src13_directory_files", directory_counts, "\nUNION ALL ".join(
+    f"SELECT source_file, '{kind}' AS log_type, count(*) AS n FROM ({SQL[name]}) AS t GROUP BY source_file"
+    for name, kind in (("src2_auth_events", "auth"), ("src3_web_events", "apache"), ("src4_win_tabular", "windows"), ("src5_win_blocks", "windows"),
+                       ("src8_json_lines", "json"), ("src10_windows_event_xml", "xml"))))
