@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of every class of linked fingerprints.
 
-    Five-word shingles at five or fewer bits: of the pairs so linked in the test tables 93 %
-    share four fifths of their shingles, and all share half of them.
+    Five-word shingles at five or fewer bits; the README has what share of such pairs is
+    how similar.
     """
     return simhash.without_near_duplicates(docs, **NEAR)
 
