@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilake.plans.analyze import events_for, load_events
 from vigilake.session import shared_path
+from vigilake.sources.json_docs import read_json_events
 from vigilake.sources.lines import scan_text
 from workloads.logs import YEAR, Logs
 
@@ -61,7 +62,8 @@ class FileLogs(Logs):
 
     @cached_property
     def documents(self):
-        return self.read("cloud_documents", "json")
+        # a file per document: the layout is given, so that nothing has to be probed
+        return self.named(read_json_events(self.spark, self.folder("cloud_documents"), "document"))
 
     @cached_property
     def winevent(self):
