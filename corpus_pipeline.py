@@ -12,7 +12,7 @@ from vigilake.llm import fmindex, mixing, quality, shards, simhash
 from vigilake.llm.common import documents, exactly, table, written
 
 
-NEAR = {"words": 5, "distance": 5, "blocks": 7}
+NEAR = {"words": 5, "similarity": 0.8, "width": 8, "recall": 0.95}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of every class of linked fingerprints.
 
-    Five-word shingles at five or fewer bits; the README has what share of such pairs is
-    how similar.
+    Five-word shingles, a similarity of 0.8 or more as the distance of 512 bits tells it; the
+    README has how well it does.
     """
     return simhash.without_near_duplicates(docs, **NEAR)
 

@@ -1,6 +1,7 @@
 """Operators against plain versions, on texts with nulls, blanks, ties, repeats, one very long text."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -116,24 +117,71 @@ def test_simhash(docs, empty):
     want = Counter((r[0], f, lowest[c]) for r, f, c in zip(ROWS, fps, label))
     assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()) == want
     assert simhash.near_duplicates(empty).collect() == []
+
+
+def test_similar_texts(docs, empty):
+    def bits(text):
+        w = (text or "").encode().translate(LOWER).split()
+        s = [b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+        h = np.array([xxhash.xxh64_intdigest(x, 42) for x in s], np.uint64)
+        return [int(x) for x in simhash.majority(h, 8)]
+
+    assert math.isclose(math.cos(math.pi * simhash.open_share(0.8)), 0.8 / 0.9)
+    bound = int(512 * simhash.open_share(0.8))
+    fps = [bits(r[1]) for r in ROWS]
+    assert [f[0] for f in fps] == [simhash.fingerprint(r[1], 5) for r in ROWS]
+    label = list(range(len(ROWS)))
+    for _ in range(len(ROWS)):
+        label = [min(label[j] for j in range(len(ROWS)) if sum((x ^ y).bit_count() for x, y in zip(fps[i], fps[j])) <= bound)
+                 for i in range(len(ROWS))]
+    lowest = {c: min((r[0] for r, d in zip(ROWS, label) if d == c and r[0] is not None), default=None) for c in label}
     kept = simhash.without_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(lowest[c] for c in set(label))
+    assert simhash.without_near_duplicates(empty).collect() == []
+
+
+def test_keys_meet_close_pairs():
+    rng = np.random.default_rng(5)
+    share = simhash.open_share(0.8)
+    for count in (1000, 10 ** 9):
+        positions = simhash.samples(count, share, 0.95, 512)
+        differs = np.stack([rng.permutation(512) < int(512 * share) for _ in range(400)])
+        assert (~differs[:, positions].any(axis=2)).any(axis=1).mean() > 0.9
 
 
-def test_gray_index_finds_all_links():
+@pytest.mark.parametrize(("width", "distance"), [(1, 2), (8, 40)])
+def test_gray_index_finds_all_links(width, distance):
     rng = np.random.default_rng(2)
-    fp = rng.integers(0, 2 ** 63, 60, dtype=np.uint64)
-    fp = np.unique(np.concatenate([fp] + [fp ^ (np.uint64(1) << rng.integers(0, 63, 60).astype(np.uint64)) for _ in range(8)]))
-    fp = fp[np.argsort(simhash.gray_rank(fp))]
-    classes = simhash.Classes(len(fp))
-    for a, b in simhash.GrayIndex(fp, np.zeros(len(fp), np.int64)).links(fp, np.zeros(len(fp), np.int64), 2, block=64):
-        classes.add(a, b)
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 2
+    fp = rng.integers(0, 2 ** 63, (60, width), dtype=np.uint64)
+    for _ in range(3):  # variants of variants, so that classes are chains
+        flip = np.uint64(1) << rng.integers(0, 63, (len(fp), width), dtype=np.uint64)
+        fp = np.concatenate([fp, fp ^ flip])
+    fp = np.unique(fp, axis=0)
+    fp = fp[rng.permutation(len(fp))]
+    group = np.repeat([0, 1], [len(fp) // 2, len(fp) - len(fp) // 2])
+    order = simhash.gray_order(fp, group)
+    fp = fp[order]
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]).sum(axis=2) <= distance
+    near &= group[:, None] == group[None, :]
     label = np.arange(len(fp))
-    for _ in range(40):
+    for _ in range(len(fp)):
         label = np.array([label[near[i]].min() for i in range(len(fp))])
-    assert (classes.label == label).all()
+    for skip in (False, True):
+        classes = simhash.Classes(len(fp))
+        index = simhash.GrayIndex(fp, group)
+        for a, b in index.links(fp, group, distance, block=64, label=classes.label if skip else None):
+            classes.add(a, b)
+        assert (classes.label == label).all()
+
+
+def test_gray_rank_is_a_gray_code():
+    ranks = simhash.gray_rank(np.stack([np.repeat(np.arange(16), 16), np.tile(np.arange(16), 16)], axis=1).astype(np.uint64))
+    assert len({tuple(r) for r in ranks}) == 256
+    # next in the code: one bit more or less
+    code = np.arange(1 << 12, dtype=np.uint64)
+    code ^= code >> np.uint64(1)
+    assert (simhash.gray_rank(code[:, None])[:, 0] == np.arange(1 << 12)).all()
 
 
 def test_components_settle_on_a_chain(spark):

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -36,10 +37,16 @@ def test_stages(spark):
         if name == "quality_rules":
             assert all(len((before[i].text or "").split()) >= 10 for i in now)
         elif name == "near_dedup":
-            fps = {i: simhash.fingerprint(r.text, corpus_pipeline.NEAR["words"]) for i, r in before.items()}
+            near = corpus_pipeline.NEAR
+            bound = int(64 * near["width"] * simhash.open_share(near["similarity"]))
+            fps = {i: simhash.majority(simhash.shingle_hashes(r.text, near["words"]), near["width"]) for i, r in before.items()}
+
+            def apart(a, b):
+                return int(np.bitwise_count(fps[a] ^ fps[b]).sum()) > bound
+
             kept = sorted(now)
-            assert all((fps[a] ^ fps[b]).bit_count() > corpus_pipeline.NEAR["distance"] for n, a in enumerate(kept) for b in kept[:n])
-            assert all(any((fps[a] ^ fps[b]).bit_count() <= corpus_pipeline.NEAR["distance"] for b in before if b != a) for a in set(before) - set(now))
+            assert all(apart(a, b) for n, a in enumerate(kept) for b in kept[:n])
+            assert all(any(not apart(a, b) for b in before if b != a) for a in set(before) - set(now))
         elif name == "decontamination":
             bench = [fmindex.split_words(r.text) for r in queries.table(spark, SF, "benchmark").collect()]
             wins = {tuple(w[k:k + 10]) for w in bench for k in range(len(w) - 9)}

@@ -7,10 +7,15 @@ differing bits side by side; bits on which a run of values agrees are factored i
 nodes. A search adds up differences on the way down and leaves a whole run as soon as the
 sum passes the distance, or takes it whole when no bit below can pass it. Groups give
 star-shaped links; components follow from alternating star contractions in Spark.
+
+``near_duplicates`` links at a few of 64 bits and finds every link. A distance that stands
+for a similarity of 0.8 is a seventh of all bits, too much for choices of blocks and too noisy
+on 64 bits: ``without_near_duplicates`` takes wider fingerprints, and groups by sampled bits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,24 +27,46 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, exactly, partitions, written
 
-ONE = np.uint64(1)
+SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd, near 2^64 over the golden ratio
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Majority bits of the shingles' XXH64 (seed 42); 0 without words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included; none without words."""
     tokens = [] if text is None else text.encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not tokens:
-        return 0
-    if len(tokens) <= words:
+        shingles = []
+    elif len(tokens) <= words:
         shingles = [b" ".join(tokens)]
     else:
         shingles = map(b" ".join, zip(*[tokens[i:] for i in range(words)]))
-    h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], "<u8")
-    ones, begin = np.zeros(64, np.int64), 0
-    for begin in range(0, len(h), 65536):
-        part = h[begin:begin + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+    return np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], "<u8")
+
+
+def majority(h: np.ndarray, width: int = 1) -> np.ndarray:
+    """``width`` times 64 bits, each set if set in over half the hashes; zero without hashes.
+
+    The first 64 are those of the hashes, the others those of hashes mixed anew.
+    """
+    ones = np.zeros(64 * width, np.int64)
+    step, offsets = 65536 // width, np.arange(1, width, dtype=np.uint64) * SPREAD
+    for begin in range(0, len(h), step):
+        part = h[begin:begin + step]
+        mixed = np.concatenate([part[:, None], _mixed(part[:, None] + offsets)], axis=1)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A second hash of hashes: multiply and fold until every bit depends on every bit."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Majority bits of the shingles' XXH64 (seed 42); 0 without words."""
+    return int(majority(shingle_hashes(text, words))[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,23 +81,36 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
-    """Place of a value in the reflected Gray code: the running exclusive or of its bits from the top."""
+    """Place of each row of words in the reflected Gray code: the running exclusive or of its
+    bits from the top, carried from word to word."""
     rank = fp.copy()
     for shift in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(shift)
+    for word in range(1, fp.shape[1]):
+        rank[:, word] ^= np.uint64(0) - (rank[:, word - 1] & np.uint64(1))
     return rank
 
 
+def gray_order(fp: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Positions sorted by group, then Gray rank."""
+    rank = gray_rank(fp)
+    return np.lexsort((*[rank[:, w] for w in reversed(range(fp.shape[1]))], group))
+
+
+def _bits(words: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+
+
 class GrayIndex:
     """Trees over runs of values; ``group`` numbers the trees, values sorted by group, then Gray rank.
 
-    A level holds, per node, the bits on which all values below agree (``mask``) with their
-    values, less those already held above it (``own``), and its range of children.
+    A value is a row of 64-bit words. A level holds, per node, the bits on which all values
+    below agree (``mask``) with their values, less those already held above it (``own``),
+    and its range of children.
     """
 
     def __init__(self, fp: np.ndarray, group: np.ndarray, fanout: int = 4):
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
-        value, mask, owner = fp, np.full(len(fp), full), group
+        value, mask, owner = fp, np.full(fp.shape, 0xFFFFFFFFFFFFFFFF, np.uint64), group
         first = np.arange(len(fp))
         levels = [[value, mask, None, None, first, first + 1]]  # leaves first; the last two: range of values below
         while True:
@@ -89,33 +129,49 @@ class GrayIndex:
         self.levels, self.roots = levels, owner
         own = [levels[-1][1]]  # the bits a node adds to those of its parent
         for level in range(len(levels) - 1, 0, -1):
-            above = np.repeat(levels[level][1], levels[level][3] - levels[level][2])
+            above = np.repeat(levels[level][1], levels[level][3] - levels[level][2], axis=0)
             own.insert(0, levels[level - 1][1] & ~above)
         self.own = own
+        self.room = [_bits(~level[1]) for level in levels]  # bits still open below a node
 
-    def links(self, fp: np.ndarray, group: np.ndarray, distance: int, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, lowest value, highest value + 1) runs within ``distance``, as links between positions.
+    def links(self, fp: np.ndarray, group: np.ndarray, distance: int, block: int = 1 << 14,
+              label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of positions, linked directly or along a run, that join all within ``distance``.
 
         A run taken whole is given as links from the query to its first value and along the run:
-        all its values lie within ``distance`` of the query, so they are one class.
+        all its values lie within ``distance`` of the query, so they are one class. ``label``
+        holds the classes so far, which the caller keeps up to date: neighbours in Gray order
+        come first, and nodes wholly of the query's own class are left out, so that a large
+        group of variants costs a few visits per value instead of all its pairs.
         """
+        at = np.flatnonzero((group[1:] == group[:-1]) & (_bits(fp[1:] ^ fp[:-1]) <= distance)) if len(fp) > 1 else np.arange(0)
+        yield at, at + 1
         root_of = np.searchsorted(self.roots, group)
         for begin in range(0, len(fp), block):
-            todo = [(len(self.levels) - 1, np.arange(begin, min(begin + block, len(fp))), None, None)]
-            query = todo[0][1]
+            one_class = None
+            if label is not None:  # the class of all values below a node, or -1
+                one_class = []
+                for level in self.levels:
+                    least, most = np.minimum.reduceat(label, level[4]), np.maximum.reduceat(label, level[4])
+                    one_class.append(np.where(least == most, least, -1))
+            query = np.arange(begin, min(begin + block, len(fp)))
             todo = [(len(self.levels) - 1, query, root_of[query], np.zeros(len(query), np.int64))]
             while todo:
                 level, q, node, sum_ = todo.pop()
                 value, mask, head, tail, low, high = self.levels[level]
-                sum_ = sum_ + np.bitwise_count((fp[q] ^ value[node]) & self.own[level][node])
-                near = (sum_ <= distance) & (high[node] > q + 1)  # each pair once: later values only
+                open_ = high[node] > q + 1  # each pair once: later values only
+                if one_class is not None:
+                    open_ &= one_class[level][node] != label[q]
+                q, node, sum_ = q[open_], node[open_], sum_[open_]
+                sum_ = sum_ + _bits((fp[q] ^ value[node]) & self.own[level][node])
+                near = sum_ <= distance
                 q, node, sum_ = q[near], node[near], sum_[near]
-                whole = sum_ + np.bitwise_count(~mask[node]) <= distance
+                whole = sum_ + self.room[level][node] <= distance
                 if whole.any():
                     a, lo, hi = q[whole], low[node[whole]], high[node[whole]]
                     lo = np.maximum(lo, a + 1)
                     yield a, lo
-                    longer = np.unique(np.stack([lo, hi]), axis=1)[:, :]
+                    longer = np.unique(np.stack([lo, hi]), axis=1)
                     span = longer[1] - longer[0] - 1
                     at = np.repeat(longer[0], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
                     yield at, at + 1
@@ -125,8 +181,9 @@ class GrayIndex:
                 count = tail[node] - head[node]
                 child = np.repeat(head[node], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 q, sum_ = np.repeat(q, count), np.repeat(sum_, count)
-                for cut in range(0, len(q), 1 << 20):  # bounds what is held at once
-                    part = slice(cut, cut + (1 << 20))
+                step = (1 << 20) // fp.shape[1]
+                for cut in range(0, len(q), step):  # bounds what is held at once
+                    part = slice(cut, cut + step)
                     todo.append((level - 1, q[part], child[part], sum_[part]))
 
 
@@ -154,33 +211,34 @@ class Classes:
 
 
 def star_links(batches: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFrame]:
-    """Rows (part, key, fp) sorted by part and key -> links of each value to the lowest of its class."""
+    """Rows (part, key, id, fp) sorted by part and key -> links of each id to one of its class.
+
+    ``fp`` is the value as bytes, highest first."""
     rest = None
 
-    def solve(part, key, fp):
+    def solve(part, key, ids, fp):
         group = np.cumsum(np.append(True, (part[1:] != part[:-1]) | (key[1:] != key[:-1]))) - 1
         keep = np.bincount(group)[group] > 1
-        group, fp = np.unique(group[keep], return_inverse=True)[1].reshape(-1), fp[keep]
+        group, ids, fp = np.unique(group[keep], return_inverse=True)[1].reshape(-1), ids[keep], fp[keep]
         if not len(fp):
             return None
-        order = np.lexsort((gray_rank(fp), group))
-        fp, group = fp[order], group[order]
+        order = gray_order(fp, group)
+        fp, group, ids = fp[order], group[order], ids[order]
         index, classes = GrayIndex(fp, group), Classes(len(fp))
-        for a, b in index.links(fp, group, distance):
+        for a, b in index.links(fp, group, distance, label=classes.label):
             classes.add(a, b)
         linked = classes.label != np.arange(len(fp))
-        return pd.DataFrame({"u": fp[linked].view(np.int64), "v": fp[classes.label[linked]].view(np.int64)})
+        return pd.DataFrame({"u": ids[linked], "v": ids[classes.label[linked]]})
 
     for batch in batches:
-        part, key = batch["part"].to_numpy(), batch["key"].to_numpy()
-        fp = batch["fp"].to_numpy().view(np.uint64)
-        if rest is not None:
-            part, key, fp = (np.concatenate(x) for x in zip(rest, (part, key, fp)))
-        if not len(fp):
+        if not len(batch):
             continue
+        new = [batch[c].to_numpy() for c in ("part", "key", "id")]
+        new.append(np.frombuffer(b"".join(batch["fp"]), ">u8").astype(np.uint64).reshape(len(batch), -1))
+        part, key, ids, fp = new if rest is None else [np.concatenate(x) for x in zip(rest, new)]
         last = int(np.flatnonzero((part != part[-1]) | (key != key[-1]))[-1]) + 1 if (part[0], key[0]) != (part[-1], key[-1]) else 0
-        rest = (part[last:], key[last:], fp[last:])
-        if last and (out := solve(part[:last], key[:last], fp[:last])) is not None:
+        rest = [part[last:], key[last:], ids[last:], fp[last:]]
+        if last and (out := solve(part[:last], key[:last], ids[:last], fp[:last])) is not None:
             yield out
     if rest is not None and (out := solve(*rest)) is not None:
         yield out
@@ -211,18 +269,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _rooted(keyed: DataFrame, values: DataFrame, distance: int) -> DataFrame:
+    """Values with (part, key) groups -> the same values with the root of their class."""
+    links = (keyed.repartition(partitions(values.sparkSession), "part", "key").sortWithinPartitions("part", "key")
+             .mapInPandas(lambda batches: star_links(batches, distance), "u long, v long"))
+    roots = components(links).withColumnRenamed("u", "id")
+    return values.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
 def classes(values: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """(fp, root) for distinct values: the lowest value reachable over links."""
+    """(fp, root) for distinct values of 64 bits: the lowest value reachable over links."""
     edge = [64 * i // blocks for i in range(blocks + 1)]
     masks = []
     for chosen in combinations(range(blocks), blocks - distance):
         m = sum(((1 << (edge[i + 1] - edge[i])) - 1) << edge[i] for i in chosen)
         masks.append(m - (1 << 64) if m >= 1 << 63 else m)
-    keyed = values.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("part", "key"))
-    links = (keyed.select("part", "key", "fp").repartition(partitions(values.sparkSession), "part", "key").sortWithinPartitions("part", "key")
-             .mapInPandas(lambda batches: star_links(batches, distance), "u long, v long"))
-    roots = components(links)
-    return values.select("fp").join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    plain = values.select(F.col("fp").alias("id"))
+    keyed = plain.select("id", F.posexplode(F.array(*[F.col("id").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("part", "key"))
+    fp = F.unhex(F.lpad(F.hex("id"), 16, "0"))
+    return _rooted(keyed.select("part", "key", "id", fp.alias("fp")), plain, distance).withColumnRenamed("id", "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blocks: int = 4, id_col: str = "doc_id",
@@ -242,26 +307,69 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blocks:
     return rows.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blocks: int = 4) -> DataFrame:
+def open_share(similarity: float) -> float:
+    """Share of bits in which two texts of a shingle similarity (Jaccard) are expected to differ:
+    the angle between their count vectors, over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def samples(count: int, share: float, recall: float, bits: int) -> np.ndarray:
+    """Bit positions of the group keys, one row per key.
+
+    A key has about log2(count) - 6 bits, 16 at least, so a group of unlike values stays near
+    64 whatever the count; as many keys as make a pair at ``share`` agree in one of them with
+    probability ``recall``, and closer pairs more surely.
+    """
+    size = min(60, max(16, math.ceil(math.log2(max(count, 1))) - 6))
+    keys = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** size))
+    rng = np.random.default_rng(42)
+    return np.stack([rng.choice(bits, size, replace=False) for _ in range(keys)])
+
+
+def similar_classes(values: DataFrame, width: int, similarity: float, recall: float) -> DataFrame:
+    """(id, root) for written (id, fp) rows with distinct wide fingerprints.
+
+    Values link where they differ in no more bits than texts of ``similarity`` are expected to.
+    Pairs at that bound are met with probability ``recall``.
+    """
+    share = open_share(similarity)
+    positions = samples(values.count(), share, recall, 64 * width)
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weight = np.left_shift(np.int64(1), np.arange(positions.shape[1], dtype=np.int64))
+        for batch in batches:
+            if len(batch):
+                bits = np.unpackbits(np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(len(batch), -1), axis=1)
+                for part, chosen in enumerate(positions):
+                    yield batch.assign(part=np.int32(part), key=bits[:, chosen] @ weight)
+
+    rows = values.mapInPandas(keyed, "id long, fp binary, part int, key long")
+    return _rooted(rows, values.select("id"), int(64 * width * share))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8,
+                            recall: float = 0.95) -> DataFrame:
     """One row of every class: that of the smallest id (null ids last), then of the smallest text hash.
 
-    Rows are told apart by id and text; of rows equal in both one stays. All columns of
-    ``docs`` are kept. Texts travel once.
+    Classes are those of fingerprints of ``64 * width`` bits whose distance says ``similarity`` or
+    more; equal fingerprints always link. Rows are told apart by id and text; of rows equal in
+    both one stays. All columns of ``docs`` are kept. Texts travel once. Texts without words are
+    one class; an empty table gives no rows.
     """
     text = F.sha2(F.coalesce(exactly("text"), F.lit("")), 256)
     keyed = docs.withColumn("__key", F.concat_ws("/", text, exactly("doc_id").cast("string")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fp = np.array([fingerprint(t, words) for t in batch["text"]], np.uint64).view(np.int64)
+            fp = [majority(shingle_hashes(t, words), width).astype(">u8").tobytes() for t in batch["text"]]
             yield pd.DataFrame({"key": batch["key"], "doc_id": batch["doc_id"], "fp": fp}).astype({"doc_id": "Int64"})
 
     rows = written(keyed.select(F.col("__key").alias("key"), exactly("doc_id").cast("long").alias("doc_id"), exactly("text").alias("text"))
-                   .mapInPandas(run, "key string, doc_id long, fp long"), "fingerprints")
+                   .mapInPandas(run, "key string, doc_id long, fp binary"), "fingerprints")
     # the first row of each value, then of each class
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
-    values = rows.groupBy("fp").agg(first)
-    named = classes(values, distance, blocks).join(values, "fp")
-    chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"))
-    chosen = written(chosen, "chosen")
+    values = written(rows.groupBy("fp").agg(first).withColumn("id", F.monotonically_increasing_id()), "values")
+    roots = similar_classes(values.select("id", "fp"), width, similarity, recall)
+    chosen = roots.join(values.select("id", "first"), "id").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = written(chosen.select(F.col("first.key").alias("__key")), "chosen")
     return keyed.dropDuplicates(["__key"]).join(chosen, "__key", "left_semi").drop("__key")
