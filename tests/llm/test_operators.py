@@ -127,7 +127,7 @@ def test_similar_texts(docs, empty):
         return [int(x) for x in simhash.majority(h, 8)]
 
     assert math.isclose(math.cos(math.pi * simhash.open_share(0.8)), 0.8 / 0.9)
-    bound = int(512 * simhash.open_share(0.8))
+    bound = simhash.bound(0.8, 8)
     fps = [bits(r[1]) for r in ROWS]
     assert [f[0] for f in fps] == [simhash.fingerprint(r[1], 5) for r in ROWS]
     label = list(range(len(ROWS)))

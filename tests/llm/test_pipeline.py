@@ -38,7 +38,7 @@ def test_stages(spark):
             assert all(len((before[i].text or "").split()) >= 10 for i in now)
         elif name == "near_dedup":
             near = corpus_pipeline.NEAR
-            bound = int(64 * near["width"] * simhash.open_share(near["similarity"]))
+            bound = simhash.bound(near["similarity"], near["width"])
             fps = {i: simhash.majority(simhash.shingle_hashes(r.text, near["words"]), near["width"]) for i, r in before.items()}
 
             def apart(a, b):

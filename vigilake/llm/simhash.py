@@ -313,6 +313,13 @@ def open_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def bound(similarity: float, width: int) -> int:
+    """Differing bits up to which values link: those expected at a similarity and one standard
+    deviation more, so that about five in six pairs just at the similarity still link."""
+    share = open_share(similarity)
+    return int(64 * width * share + math.sqrt(64 * width * share * (1 - share)))
+
+
 def samples(count: int, share: float, recall: float, bits: int) -> np.ndarray:
     """Bit positions of the group keys, one row per key.
 
@@ -329,11 +336,10 @@ def samples(count: int, share: float, recall: float, bits: int) -> np.ndarray:
 def similar_classes(values: DataFrame, width: int, similarity: float, recall: float) -> DataFrame:
     """(id, root) for written (id, fp) rows with distinct wide fingerprints.
 
-    Values link where they differ in no more bits than texts of ``similarity`` are expected to.
-    Pairs at that bound are met with probability ``recall``.
+    Values link at ``bound`` or fewer bits. Pairs that differ as expected at ``similarity`` are
+    met in a group with probability ``recall``, closer ones more surely.
     """
-    share = open_share(similarity)
-    positions = samples(values.count(), share, recall, 64 * width)
+    positions = samples(values.count(), open_share(similarity), recall, 64 * width)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight = np.left_shift(np.int64(1), np.arange(positions.shape[1], dtype=np.int64))
@@ -344,7 +350,7 @@ def similar_classes(values: DataFrame, width: int, similarity: float, recall: fl
                     yield batch.assign(part=np.int32(part), key=bits[:, chosen] @ weight)
 
     rows = values.mapInPandas(keyed, "id long, fp binary, part int, key long")
-    return _rooted(rows, values.select("id"), int(64 * width * share))
+    return _rooted(rows, values.select("id"), bound(similarity, width))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8,
