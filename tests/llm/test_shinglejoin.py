@@ -1,0 +1,76 @@
+"""The join of shingle sets against all pairs, hot shingles included, and near-dedup on what fingerprints miss."""
+
+import random
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vigilake.llm import shinglejoin, simhash
+
+
+def sets_of(text):
+    return np.unique(simhash.shingle_hashes(text, 5))
+
+
+def similarity(a, b):
+    a, b = set(sets_of(a).tolist()), set(sets_of(b).tolist())
+    return len(a & b) / len(a | b)
+
+
+def made():
+    rng = random.Random(11)
+    say = lambda n: [str(rng.randrange(4000)) for _ in range(n)]
+    passage, base = say(60), say(90)
+    texts = [say(10) + passage + say(rng.randint(0, 12)) for _ in range(60)]  # a passage in most texts
+    for _ in range(60):  # near copies at about 0.6 to 1
+        copy = base[:]
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(len(copy))] = str(rng.randrange(4000))
+        texts.append(copy)
+    texts += [say(rng.randint(5, 80)) for _ in range(40)] + [base + say(3), ["a"] * 30, ["a"] * 90, ["b"]]
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_pairs_are_all_pairs(spark, ordered):
+    texts = made()
+    ids = [shinglejoin.set_id(sets_of(t)) for t in texts]
+    signed = [i - (1 << 64) if i >= 1 << 63 else i for i in ids]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, text string").repartition(3)
+    rows = {s: (s, str(i), len(sets_of(t)), s) for i, (s, t) in enumerate(zip(signed, texts))}
+    sets = spark.createDataFrame(list(rows.values()), "sid long, key string, n long, root long")
+    counts = shinglejoin.Counts()
+    for t in texts:
+        counts.add(sets_of(t))
+    counts = spark.createDataFrame(counts.flush()) if ordered else spark.createDataFrame([], "shingle long, hits long")
+    found = [(r.a, r.b) for r in shinglejoin.pairs(docs, sets, counts, sets_of, 0.8).collect()]
+    want = {(min(x, y), max(x, y)) for (x, s), (y, t) in combinations(zip(signed, texts), 2) if x != y and similarity(s, t) >= 0.8}
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 20
+
+
+def test_near_dedup_misses_no_similar_pair(spark):
+    rng = random.Random(3)
+    base = " ".join(str(rng.randrange(9000)) for _ in range(100))
+    # the repeated line outweighs the text in the fingerprint, but hardly adds to the set of shingles
+    rows = [(1, f"{base} {'red sun over old hills ' * 300}"), (2, f"{base} {'cold rain under new bridges ' * 300}")]
+    assert similarity(rows[0][1], rows[1][1]) >= 0.8
+    far = [simhash.majority(simhash.shingle_hashes(t, 5), 8) for _, t in rows]
+    assert np.bitwise_count(far[0] ^ far[1]).sum() > simhash.bound(0.8, 8)
+    more = [(i, " ".join(str(rng.randrange(9000)) for _ in range(40))) for i in range(3, 40)]
+    more += [(99, None), (None, rows[0][1])]
+    for table in (rows, rows + more):
+        docs = spark.createDataFrame(table, "doc_id long, text string").repartition(2)
+        kept = {r.doc_id for r in simhash.without_near_duplicates(docs).collect()}
+        assert kept == {i for i, _ in table} - {2, None}
+
+
+def test_keys_do_not_depend_on_the_table(spark, monkeypatch):
+    seen = []
+    drawn = simhash.samples
+    monkeypatch.setattr(simhash, "samples", lambda *a: seen.append(a) or drawn(*a))
+    fp = F.lit(b"\0" * 64)
+    for n in (3, 300):
+        simhash.similar_classes(spark.range(n).select("id", fp.alias("fp")), 8, 0.8, 0.95)
+    assert seen[0] == seen[1]

@@ -1,0 +1,138 @@
+"""Every pair of shingle sets at a similarity (Jaccard) or more: prefix filter, then the sets themselves.
+
+All sets are put in one order of shingles, rare ones first. Two sets at ``similarity`` or more
+share a shingle of their prefixes (the first ``n - ceil(similarity * n) + 1`` of ``n``), whatever
+that order is and whatever else the table holds. The order only decides how much work it is.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+HOT = 65536  # frequent shingles sent to the tasks, for the order alone
+PIECE = 1 << 21  # shingles counted at once
+
+
+def set_id(shingles: np.ndarray) -> int:
+    """64 bits that stand for a sorted set of shingle hashes."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 7)
+
+
+class Counts:
+    """Shingles met in many of the sets of a piece, with the number of sets."""
+
+    def __init__(self):
+        self.sets, self.size = [], 0
+
+    def add(self, shingles: np.ndarray) -> pd.DataFrame | None:
+        self.sets.append(shingles)
+        self.size += len(shingles)
+        return self.flush() if self.size >= PIECE else None
+
+    def flush(self) -> pd.DataFrame | None:
+        if not self.sets:
+            return None
+        value, hits = np.unique(np.concatenate(self.sets), return_counts=True)
+        often = hits >= max(3, len(self.sets) // 1000)
+        self.sets, self.size = [], 0
+        return pd.DataFrame({"shingle": value[often].view(np.int64), "hits": hits[often]}) if often.any() else None
+
+
+def order_of(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, hits) rows -> the most frequent shingles, sorted, and their hits."""
+    most = counts.groupBy("shingle").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "shingle").limit(HOT).toPandas()
+    value = most["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(value)
+    return value[order], most["hits"].to_numpy(np.int64)[order]
+
+
+def prefix(shingles: np.ndarray, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a sorted set in the order by hits, then hash."""
+    n = len(shingles)
+    size = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+    value, hits = hot
+    if not len(value):
+        return shingles[:size]
+    at = np.minimum(np.searchsorted(value, shingles), len(value) - 1)
+    weight = np.where(value[at] == shingles, hits[at], 0)
+    return shingles[np.argsort(weight, kind="stable")[:size]]
+
+
+def pairs(docs: DataFrame, sets: DataFrame, counts: DataFrame, shingles_of: Callable[[str | None], np.ndarray],
+          similarity: float) -> DataFrame:
+    """(a, b): all sets at ``similarity`` or more that have different ``root``.
+
+    ``docs``: key and text. ``sets``: a row per distinct set with sid, key (a
+    document that has it), n (its size) and root (a class it is known to belong to).
+    ``shingles_of`` gives the sorted set of a text.
+    """
+    hot = order_of(counts)
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen, ids, parts, size = set(), [], [], 0
+            for text in batch["text"]:
+                shingles = shingles_of(text)
+                sid = set_id(shingles)
+                if len(shingles) and sid not in seen:
+                    seen.add(sid)
+                    ids.append(sid)
+                    parts.append(prefix(shingles, similarity, hot))
+                    size += len(parts[-1])
+                if size >= PIECE:
+                    yield _rows(ids, parts)
+                    ids, parts, size = [], [], 0
+            if parts:
+                yield _rows(ids, parts)
+
+    keys = written(docs.select("text").mapInPandas(prefixes, "shingle long, sid long"), "prefixes")
+    # prefix shingles of one set only are most of them, and meet nothing
+    met = written(keys.groupBy("shingle").agg(F.min("sid").alias("low"), F.max("sid").alias("high"))
+                  .where("low < high").select("shingle"), "met")
+    known = sets.select("sid", "n", "root")
+    keys = written(keys.join(met, "shingle", "left_semi").distinct().join(known, "sid"), "met-sets")
+    # only pairs of two roots are open; all others of a shingle meet the rows of its largest root,
+    # so that a large class is not paired with itself
+    main = (keys.groupBy("shingle", "root").count().groupBy("shingle")
+            .agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1"))
+    keys = written(keys.join(main.select("shingle", "main"), "shingle"), "open-sets")
+    a, b = keys.where("root <> main").alias("a"), keys.alias("b")
+    least, most = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    found = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") != F.col("b.root"))
+                   & ((F.col("b.root") == F.col("b.main")) | (F.col("a.sid") < F.col("b.sid")))
+                   & (least >= most * F.lit(similarity) - 1e-9))
+    found = written(found.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct(), "candidates")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"sid": batch["sid"], "shingles": [shingles_of(t).tobytes() for t in batch["text"]]})
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            same = [_similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), similarity) for x, y in zip(batch["x"], batch["y"])]
+            yield batch.loc[np.array(same, bool), ["a", "b"]]
+
+    ids = written(sets.join(found.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid").select("sid", "key"), "candidate-keys")
+    full = written(docs.join(ids, "key").dropDuplicates(["sid"]).select("sid", "text").mapInPandas(read, "sid long, shingles binary"), "candidate-sets")
+    both = (found.join(full.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(full.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b"))
+    return both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+
+
+def _rows(ids: list[int], parts: list[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"shingle": np.concatenate(parts).view(np.int64),
+                         "sid": np.repeat(np.array(ids, np.uint64).view(np.int64), [len(p) for p in parts])})
+
+
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared >= similarity * (len(x) + len(y) - shared) - 1e-9

@@ -10,7 +10,8 @@ star-shaped links; components follow from alternating star contractions in Spark
 
 ``near_duplicates`` links at a few of 64 bits and finds every link. A distance that stands
 for a similarity of 0.8 is a seventh of all bits, too much for choices of blocks and too noisy
-on 64 bits: ``without_near_duplicates`` takes wider fingerprints, and groups by sampled bits.
+on 64 bits: ``without_near_duplicates`` takes wider fingerprints, and groups by sampled bits;
+what these miss at 0.8 or more comes from a join of the shingle sets.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shinglejoin
 from .common import LOWER, exactly, partitions, written
 
 SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd, near 2^64 over the golden ratio
@@ -337,9 +339,10 @@ def similar_classes(values: DataFrame, width: int, similarity: float, recall: fl
     """(id, root) for written (id, fp) rows with distinct wide fingerprints.
 
     Values link at ``bound`` or fewer bits. Pairs that differ as expected at ``similarity`` are
-    met in a group with probability ``recall``, closer ones more surely.
+    met in a group with probability ``recall``, closer ones more surely. The keys are the same
+    for every table, so that two values meet or not whatever else there is.
     """
-    positions = samples(values.count(), open_share(similarity), recall, 64 * width)
+    positions = samples(1, open_share(similarity), recall, 64 * width)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight = np.left_shift(np.int64(1), np.arange(positions.shape[1], dtype=np.int64))
@@ -358,24 +361,55 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float =
     """One row of every class: that of the smallest id (null ids last), then of the smallest text hash.
 
     Classes are those of fingerprints of ``64 * width`` bits whose distance says ``similarity`` or
-    more; equal fingerprints always link. Rows are told apart by id and text; of rows equal in
-    both one stays. All columns of ``docs`` are kept. Texts travel once. Texts without words are
-    one class; an empty table gives no rows.
+    more, and of all texts whose shingle sets are at ``similarity`` or more (``shinglejoin``: no
+    such pair is missed); equal fingerprints always link. Rows are told apart by id and text; of
+    rows equal in both one stays. All columns of ``docs`` are kept. Texts without words are one
+    class; an empty table gives no rows.
     """
     text = F.sha2(F.coalesce(exactly("text"), F.lit("")), 256)
     keyed = docs.withColumn("__key", F.concat_ws("/", text, exactly("doc_id").cast("string")))
+    plain = keyed.select(F.col("__key").alias("key"), exactly("doc_id").cast("long").alias("doc_id"), exactly("text").alias("text"))
+
+    def shaped(rows):  # rows of documents and of frequent shingles in one table
+        rows = rows.reindex(columns=["key", "doc_id", "fp", "sid", "n", "shingle", "hits"])
+        return rows.astype({"key": object, "fp": object} | dict.fromkeys(["doc_id", "sid", "n", "shingle", "hits"], "Int64")).replace({np.nan: None})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = shinglejoin.Counts()
         for batch in batches:
-            fp = [majority(shingle_hashes(t, words), width).astype(">u8").tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], "doc_id": batch["doc_id"], "fp": fp}).astype({"doc_id": "Int64"})
-
-    rows = written(keyed.select(F.col("__key").alias("key"), exactly("doc_id").cast("long").alias("doc_id"), exactly("text").alias("text"))
-                   .mapInPandas(run, "key string, doc_id long, fp binary"), "fingerprints")
+            fp, sid, size = [], [], []
+            for t in batch["text"]:
+                h = shingle_hashes(t, words)
+                distinct = np.unique(h)
+                fp.append(majority(h, width).astype(">u8").tobytes())
+                sid.append(shinglejoin.set_id(distinct))
+                size.append(len(distinct))
+                if (often := counts.add(distinct)) is not None:
+                    yield shaped(often)
+            out = pd.DataFrame({"key": batch["key"], "doc_id": batch["doc_id"], "fp": fp, "n": size,
+                                "sid": np.array(sid, np.uint64).view(np.int64)})
+            yield shaped(out)
+        if (often := counts.flush()) is not None:
+            yield shaped(often)
+
+    told = written(plain.mapInPandas(run, "key string, doc_id long, fp binary, sid long, n long, shingle long, hits long"), "fingerprints")
+    rows = told.where("key IS NOT NULL")
     # the first row of each value, then of each class
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
     values = written(rows.groupBy("fp").agg(first).withColumn("id", F.monotonically_increasing_id()), "values")
-    roots = similar_classes(values.select("id", "fp"), width, similarity, recall)
+    roots = written(similar_classes(values.select("id", "fp"), width, similarity, recall), "roots")
+    # sets of one fingerprint have its root; one set may have several fingerprints
+    held = rows.groupBy("sid", "fp").agg(F.min("key").alias("key"), F.min("n").alias("n"))
+    held = written(held.join(values.select("fp", "id"), "fp").join(roots, "id").select("sid", "key", "n", "root"), "sets")
+    sets = written(held.groupBy("sid").agg(F.min("root").alias("root"), F.min("key").alias("key"), F.min("n").alias("n")), "distinct-sets")
+    pairs = shinglejoin.pairs(plain.select("key", "text"), sets, told.where("hits IS NOT NULL").select("shingle", "hits"),
+                              lambda t: np.unique(shingle_hashes(t, words)), similarity)
+    root_of = sets.select("sid", "root")
+    links = (pairs.join(root_of.select(F.col("sid").alias("a"), F.col("root").alias("u")), "a")
+             .join(root_of.select(F.col("sid").alias("b"), F.col("root").alias("v")), "b").select("u", "v"))
+    links = links.union(held.select("sid", F.col("root").alias("u")).join(root_of.select("sid", F.col("root").alias("v")), "sid").select("u", "v"))
+    joined = components(links).select(F.col("u").alias("root"), F.col("root").alias("lowest"))
+    roots = roots.join(joined, "root", "left").select("id", F.coalesce("lowest", "root").alias("root"))
     chosen = roots.join(values.select("id", "first"), "id").groupBy("root").agg(F.min("first").alias("first"))
     chosen = written(chosen.select(F.col("first.key").alias("__key")), "chosen")
     return keyed.dropDuplicates(["__key"]).join(chosen, "__key", "left_semi").drop("__key")
