@@ -31,7 +31,8 @@ class Layout:
 
     ``turns``: (role, path) in order, for records with a field per turn; several paths of
     one role in a row are joined by an empty line. ``items``: path of a list of turns with
-    its ``role`` and ``text`` fields. ``optional`` paths may be missing.
+    its ``role`` and ``text`` fields; without ``items`` the record is itself one turn with these
+    fields. ``optional`` paths may be missing.
     """
 
     name: str
@@ -42,7 +43,9 @@ class Layout:
     optional: tuple[str, ...] = ()
 
     def paths(self) -> set[str]:
-        return {f"{self.items}[].{self.role}", f"{self.items}[].{self.text}"} if self.items else {p for _, p in self.turns}
+        if self.items:
+            return {f"{self.items}[].{self.role}", f"{self.items}[].{self.text}"}
+        return {self.role, self.text} if self.role else {p for _, p in self.turns}
 
 
 LAYOUTS = (
@@ -53,6 +56,8 @@ LAYOUTS = (
     Layout("instruction", turns=(("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("input",)),
     Layout("question", turns=(("user", "data.question"), ("assistant", "data.answer"))),
 )
+#: A row of a table of turns, whose roles stand as they are. Not among the others: its fields may be extra ones of a larger record.
+TURN = Layout("turn", role="role", text="text")
 #: Other names of the canonical roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -99,6 +104,8 @@ def turns_of(record, layout: Layout) -> list[tuple[str, str]]:
     if layout.items:
         pairs = [(_text(x.get(layout.role)), _text(x.get(layout.text))) for x in _at(record, layout.items) if isinstance(x, dict)]
         return [(ROLES.get(r, r), t) for r, t in pairs]
+    if layout.role:
+        return [(_text(_at(record, layout.role)), _text(_at(record, layout.text)))]
     out: list[tuple[str, str]] = []
     for role, path in layout.turns:
         if (value := _at(record, path)) is None:
@@ -110,10 +117,18 @@ def turns_of(record, layout: Layout) -> list[tuple[str, str]]:
     return out
 
 
-def canonical(records: DataFrame, id_col: str = "conv_id", json_col: str = "record", layouts=LAYOUTS) -> DataFrame:
+def turn_records(rows: DataFrame) -> DataFrame:
+    """A table of turns -> (conv_id, turn, record): a JSON record of role and text per row."""
+    record = F.to_json(F.struct(exactly("role").alias(TURN.role), exactly("text").alias(TURN.text)), {"ignoreNullFields": "false"})
+    return rows.select("conv_id", exactly("turn").cast("long").alias("turn"), record.alias("record"))
+
+
+def canonical(records: DataFrame, id_col: str = "conv_id", json_col: str = "record", layouts=LAYOUTS,
+              turn_col: str | None = None) -> DataFrame:
     """JSON records of any known layout -> rows (conv_id, turn, role, text, layout).
 
-    A record that is null, not JSON, or of no known layout gives one row with null turn,
+    Turns are numbered from 0 in their record; a record that is itself one turn has the number
+    in ``turn_col``. A record that is null, not JSON, or of no known layout gives one row with null turn,
     role, text and layout, so that nothing goes unseen.
     """
     known, paths = catalog(layouts)
@@ -121,17 +136,21 @@ def canonical(records: DataFrame, id_col: str = "conv_id", json_col: str = "reco
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, text in zip(batch["conv_id"], batch["record"]):
+            places = batch["turn"].astype("Int64")
+            for key, place, text in zip(batch["conv_id"], places, batch["record"]):
                 try:
                     record = json.loads(text)
                     layout = known.get(fingerprint(field_paths(record) & paths))
                 except (TypeError, ValueError, RecursionError):
                     layout = None
                 turns = turns_of(record, layout) if layout else None
-                rows += [(key, i, r, t, layout.name) for i, (r, t) in enumerate(turns)] if turns else [(key, None, None, None, None)]
+                whole = layout and not layout.items and not layout.turns
+                rows += ([(key, place if whole else i, r, t, layout.name) for i, (r, t) in enumerate(turns)] if turns
+                         else [(key, None, None, None, None)])
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text", "layout"]).astype({"conv_id": "Int64", "turn": "Int64"})
 
-    return records.select(exactly(id_col).cast("long").alias("conv_id"), exactly(json_col).cast("string").alias("record")).mapInPandas(
+    place = (F.lit(None) if turn_col is None else exactly(turn_col)).cast("long").alias("turn")
+    return records.select(exactly(id_col).cast("long").alias("conv_id"), place, exactly(json_col).cast("string").alias("record")).mapInPandas(
         run, "conv_id long, turn long, role string, text string, layout string")
 
 

@@ -45,9 +45,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     record = json.dumps({"messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]})
-    extra = chat.canonical(spark.createDataFrame([(-1, record)], "conv_id long, record string"))
-    columns = ["conv_id", "turn", "role", "text"]
-    rows = table(spark, sf_dir, "conversations").select(*columns).union(extra.select(*columns))
+    extra = spark.createDataFrame([(-1, None, record)], "conv_id long, turn long, record string")
+    records = chat.turn_records(table(spark, sf_dir, "conversations")).union(extra)
+    rows = chat.canonical(records, layouts=(*chat.LAYOUTS, chat.TURN), turn_col="turn").select("conv_id", "turn", "role", "text")
     done = chat.read_back(chat.formatted(rows))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
