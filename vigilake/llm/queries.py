@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fmindex, maxent, mixing, quality, shards, simhash, suffixes, tokencount, windows
+from . import chat, fmindex, linededup, maxent, mixing, quality, shards, simhash, suffixes, tokencount, windows
 from .common import documents, table
 
 MIX = {"keep": 0.5, "power": 0.5, "seed": "mix", "sweeps": 12}
@@ -70,15 +70,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.without_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_mixing, op3_lm_scoring, op4_token_counts, op5_suffix_dedup, op6_decontamination,
-    op7_chat_formatting, op8_sharding, op9_window_dedup, op10_simhash)}
+    op7_chat_formatting, op8_sharding, op9_window_dedup, op10_simhash, op13_line_dedup)}
 
 _SEEN = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _ABC = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN = rf"regexp_extract_all({_ABC}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op13_line_dedup": linededup.DIGEST_SQL,
     "op2_mixing": mixing.mix_sql(**MIX),
     "op6_decontamination": f"""WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
   b AS (SELECT item_id::VARCHAR AS item, {_PLAIN} AS w FROM benchmark),
