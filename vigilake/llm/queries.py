@@ -7,11 +7,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fmindex, linededup, maxent, mixing, quality, shards, simhash, suffixes, tokencount, windows
+from . import chat, crosstoken, fmindex, linededup, lloyd, maxent, mixing, quality, shards, simhash, suffixes, tokencount, windows
 from .common import documents, table
 
 MIX = {"keep": 0.5, "power": 0.5, "seed": "mix", "sweeps": 12}
 TOKEN_MODEL = "piece_bpe_32k.model"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return crosstoken.alignment(documents(spark, sf_dir), *map(public_tokenizers.path, ALIGNED))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = lloyd.compressed(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error",
+                        F.lit(books.digest() if books else "").alias("codebooks_sha256"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_lines(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -77,13 +90,14 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_mixing, op3_lm_scoring, op4_token_counts, op5_suffix_dedup, op6_decontamination,
-    op7_chat_formatting, op8_sharding, op9_window_dedup, op10_simhash, op13_line_dedup)}
+    op7_chat_formatting, op8_sharding, op9_window_dedup, op10_simhash, op11_token_alignment, op12_vector_codes, op13_line_dedup)}
 
 _SEEN = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _ABC = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN = rf"regexp_extract_all({_ABC}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op12_vector_codes": lloyd.digest_sql(),
     "op13_line_dedup": linededup.DIGEST_SQL,
     "op2_mixing": mixing.mix_sql(**MIX),
     "op6_decontamination": f"""WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
