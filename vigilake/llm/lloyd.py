@@ -224,8 +224,8 @@ def compressed(vectors: DataFrame, n_parts: int = 4, n_entries: int = 256, round
 
 def digest_sql(rounds: int = 4) -> str:
     """The same over whole vectors in plain SQL: every component is a row, every entry is tried."""
-    steps = [f"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
-    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding))""",
+    steps = [f"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))""",
              """c AS MATERIALIZED (SELECT vec_id, (i - 1) // (len(x) // 4) AS part, (i - 1) % (len(x) // 4) AS place, x[i] AS x
     FROM v, unnest(range(1, len(x) + 1)) AS r(i))""",
              """b0 AS MATERIALIZED (SELECT part, entry, place, x FROM c
