@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -20,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import exactly, partitions, written
+from .common import BLANKS, LOWER, exactly, partitions, written
 
-TRIM = " \t\n\x0b\x0c\r"
-UPPER, LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Lines, or bytes of text, that a task hands over at a time.
+ROWS, BYTES = 50_000, 4_000_000
 FIELDS = ("h1", "h2", "doc", "row", "line", "lines")
 SETTLED = pa.schema([("kind", pa.string()), ("task", pa.int32()), *[(f, pa.int64()) for f in FIELDS],
                      ("docs", pa.int64()), ("top", pa.int64()), ("low", pa.int64())])
@@ -36,15 +37,36 @@ def row_key(text: Column) -> Column:
 
 
 def long_lines(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per line whose key has at least ``least`` code points."""
+    """One row of numbers per line whose key has at least ``least`` code points."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            ids, rows = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
+            found: list[tuple[bytes, int, int, int]] = []
+            for k, text in enumerate(batch.column("text").cast(pa.binary())):
+                cut = text.as_py().translate(LOWER).split(b"\n")
+                for at, line in enumerate(cut):
+                    if len(line) >= least and len(key := line.strip(BLANKS)) >= least and (key.isascii() or len(key.decode("utf-8", "replace")) >= least):
+                        found.append((xxhash.xxh3_128_digest(key), k, at, len(cut)))
+                if len(found) >= ROWS:
+                    yield numbered(found, ids, rows)
+                    found = []
+            if found:
+                yield numbered(found, ids, rows)
+
     text = exactly(text_col).cast("string")
     rows = docs.where(exactly(id_col).isNotNull() & (F.length(text) >= least)).select(
-        exactly(id_col).cast("long").alias("doc"), row_key(text).alias("row"), F.split(text, "\n", -1).alias("cut"))
-    lines = rows.select("doc", "row", F.size("cut").cast("long").alias("lines"), F.posexplode("cut").alias("line", "said"))
-    key = F.translate(F.btrim("said", F.lit(TRIM)), UPPER, LETTERS)
-    lines = lines.where(F.length("said") >= least).withColumn("key", key).where(F.length("key") >= least)
-    return lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc", "row",
-                        F.col("line").cast("long").alias("line"), "lines")
+        exactly(id_col).cast("long").alias("doc"), row_key(text).alias("row"), text.alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{f} long" for f in FIELDS))
+
+
+def numbered(found: list[tuple[bytes, int, int, int]], ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    keys, at, line, lines = zip(*found)
+    halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+    at = np.array(at)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (halves[:, 0], halves[:, 1], ids[at], rows[at])]
+                                      + [pa.array(x, pa.int64()) for x in (line, lines)], names=list(FIELDS))
 
 
 class Stream:
@@ -187,19 +209,24 @@ def kept_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
     rows = docs.select(exactly(id_col).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), row_key(text).alias("row"))
     both = rows.join(bitmaps.select("doc_id", "row", "n_dropped", "keep"), ["doc_id", "row"], "left")
 
-    @F.pandas_udf("string")
-    def applied(texts: pd.Series, keeps: pd.Series) -> pd.Series:
-        out = []
-        for text, keep in zip(texts, keeps):
-            if keep is not None:
-                cut = text.split("\n")
-                bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(cut))
-                text = "\n".join([x for x, b in zip(cut, bits.tolist()) if b])
-            out.append(text)
-        return pd.Series(out, dtype=object)
-
-    return both.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"),
-                       F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), applied("text", "keep").alias("kept"))
+    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, keeps, dropped = (batch.column(f) for f in ("doc_id", "text", "keep", "n_dropped"))
+            begin, kept, n_lines, used = 0, [], [], 0
+            for k in range(batch.num_rows):
+                text = texts[k].as_py()
+                used += len(text)
+                n_lines.append(text.count("\n") + 1)
+                if (keep := keeps[k].as_py()) is not None:
+                    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=n_lines[-1])
+                    text = "\n".join(compress(text.split("\n"), bits.tolist()))
+                kept.append(text)
+                if used >= BYTES or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([ids.slice(begin, len(kept)), pa.array(n_lines, pa.int64()), dropped.slice(begin, len(kept)).fill_null(0),
+                                                      pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
+                    begin, kept, n_lines, used = k + 1, [], [], 0
+
+    return both.select("doc_id", "text", "keep", "n_dropped").mapInArrow(applied, "doc_id long, n_lines long, n_dropped long, kept string")
 
 
 def without_lines(docs: DataFrame, least: int = 40, copies: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +237,7 @@ def without_lines(docs: DataFrame, least: int = 40, copies: int = 5, id_col: str
 
 DIGEST_SQL = rf"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
   e AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),
-  k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LETTERS}') AS key FROM e),
+  k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
   often AS (SELECT key, max(doc_id) AS most FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
   m AS (SELECT k.doc_id, i, line, coalesce(k.doc_id < most, false) AS gone FROM k LEFT JOIN often USING (key))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
