@@ -81,14 +81,25 @@ def test_empty(spark):
     assert crosstoken.alignment(spark.createDataFrame([], SCHEMA), *PATHS).collect() == []
 
 
-def test_long_texts_are_cut_without_changing_tokens(monkeypatch):
-    a, b = (crosstoken.Tables(kind(path), ",", ";") for kind, path in zip((crosstoken.Bytewise, crosstoken.Pieces), PATHS))
+def test_parts_change_no_token(monkeypatch):
+    a, b = crosstoken.Tables(crosstoken.Bytewise(PATHS[0]), ",", "|"), crosstoken.Tables(crosstoken.Pieces(PATHS[1]), ",", ";")
     assert a.tokenizer.cuts and b.tokenizer.cuts
-    texts = [" " + (r[1] or "") for r in made()]
-    whole = [t.ids(texts, False) for t in (a, b)]
+    texts = [r[1] for r in made()]
+    whole = crosstoken.measured(texts, a, b)
     monkeypatch.setattr(crosstoken, "SEGMENT", 7)
-    for t, want in zip((a, b), whole):
-        assert all(np.array_equal(x, y) for x, y in zip(t.ids(texts, True), want))
+    cut = crosstoken.measured(texts, a, b)
+    assert cut[1] == whole[1] and all(np.array_equal(cut[k], whole[k]) for k in (0, 2, 3))
+
+
+def test_ranks_merge_like_the_list():
+    """The faster library gives the ids of the file's own, on any bytes and letters."""
+    a, rng = crosstoken.Bytewise(PATHS[0]), random.Random(6)
+    assert a.fast is not None
+    letters = [chr(c) for c in [*range(0x250), *range(0x400, 0x460), 0x3042, 0x30AB, 0x4E00, 0x65E5, 0x2014, 0x20AC]] + ["'", "'ll", "the", "ing", " ", " ", "  ", "\n", "1", "://"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 80))) for _ in range(5000)] + ["a" * 5000, " " * 700 + "x", "\r\n" * 50]
+    fast = a.encode(texts)
+    a.fast = None
+    assert fast == a.encode(texts)
 
 
 def test_packed_round_trip():

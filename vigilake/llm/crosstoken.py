@@ -17,7 +17,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
@@ -30,15 +30,17 @@ from .common import exactly, written
 
 #: Texts of a chunk together, counted as bytes and ROW_BYTES a row; texts tokenized at a time.
 CHUNK_BYTES, ROW_BYTES, SLICE_BYTES = 4_000_000, 64, 250_000
-#: Longer texts are tokenized in pieces, cut where neither tokenizer looks across.
-SEGMENT = 32_768
 #: Powers of two: radix of the second id. Runs merged at a time.
 RADIX, WIDTH = 32, 128
 STATS = ("n_a", "n_b", "n_groups", "n_links")
 SPILLED = pa.schema([("chunk", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), *[(s, pa.int64()) for s in STATS],
                      ("groups", pa.string()), ("radix", pa.int32()), ("pairs", pa.binary()), ("records", pa.binary())])
 SPILLED_SQL = "chunk long, place long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, radix int, pairs binary, records binary"
-_CUT = re.compile(r"(?<=\w) (?=\w)")
+#: Longer texts are cut where neither tokenizer looks across.
+SEGMENT = 32_768
+_CUT = re.compile(r"(?<=\w)(?= \w)")
+#: Letters, digits and marks that every version of the character tables files alike.
+_SETTLED = re.compile("[\0-\u0377\u0400-\u0482\u0490-\u04F9\u2010-\u2027\u2030-\u205E\u20AC\u3001-\u3003\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FA5]*")
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -63,10 +65,17 @@ def unpacked(frame: bytes) -> list[np.ndarray]:
 
 
 class Bytewise:
-    """First tokenizer: byte-level BPE of the ``tokenizers`` library. Special strings are plain text."""
+    """First tokenizer: byte-level BPE of the ``tokenizers`` library. Special strings are plain text.
+
+    Texts of settled characters go through ``tiktoken`` with the ranks of the same file, which cannot
+    differ where merges are in the order of their ids, and every token's own bytes merge to that token. Then no two
+    neighbours can ever stand for a token's bytes but the pair that the file lists for it, so that
+    merging by the rank of the joined bytes is merging by the list.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -80,9 +89,25 @@ class Bytewise:
         kind = json.loads(self.model.to_str())
         # words never reach from a letter over a blank
         self.cuts = (kind["pre_tokenizer"] or {}).get("type") == "ByteLevel" and kind["pre_tokenizer"].get("use_regex", True) and not kind["normalizer"]
+        ids = kind["model"]["vocab"]
+        joined = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in kind["model"]["merges"]]
+        ranks = {self.bytes[i]: i for i in ids.values() if i not in {t["id"] for t in kind["added_tokens"]}}
+        self.fast = None
+        if self.cuts and joined == list(range(256, 256 + len(joined))) and len(ranks) == 256 + len(joined):
+            alone = Tokenizer(self.model.model)  # without cutting into words
+            if all(e.ids == [i] for i, e in zip(ids.values(), alone.encode_batch_fast(list(ids), add_special_tokens=False)) if self.bytes[i] in ranks):
+                pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+                self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.fast is None:
+            return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        fast = self.fast.encode_ordinary
+        out = [fast(t) if t.isascii() or _SETTLED.fullmatch(t) else None for t in texts]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, e in zip(rest, self.model.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
 
 
 class Pieces:
@@ -108,66 +133,96 @@ class Tables:
     def __init__(self, tokenizer, inner: str, last: str):
         self.tokenizer, self.bytes = tokenizer, tokenizer.bytes
         self.size = np.array([len(b) for b in self.bytes], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.line = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.inner = np.array([f"{i}{inner}" for i in range(len(self.bytes))], object)
         self.last = np.array([f"{i}{last}" for i in range(len(self.bytes))], object)
 
-    def ids(self, texts: list[str], cuts: bool) -> list[np.ndarray]:
-        pieces, owner = [], []
-        for k, t in enumerate(texts):
-            begin = 0
-            if cuts and len(t) > SEGMENT:
-                while (m := _CUT.search(t, begin + SEGMENT)) is not None:
-                    pieces.append(t[begin:m.start()])
-                    owner.append(k)
-                    begin = m.start()
-            pieces.append(t[begin:])
-            owner.append(k)
-        out: list[list[int]] = [[] for _ in texts]
-        for k, found in zip(owner, self.tokenizer.encode(pieces)):
-            out[k].extend(found)
-        return [np.array(x, np.int64) for x in out]
-
-
-def aligned(texts: list[str | None], a: Tables, b: Tables) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """Counts per text (STATS), digests of the groups, and all links: pair (second id, first id) and text."""
-    stats, digests = np.zeros((len(texts), len(STATS)), np.int64), [""] * len(texts)
-    some = [k for k, t in enumerate(texts) if t]
-    said = [" " + texts[k] for k in some]
-    cuts = a.tokenizer.cuts and b.tokenizer.cuts
-    both = list(zip(some, said, a.ids(said, cuts), b.ids(said, cuts)))
-    same = [(k, x, y) for k, t, x, y in both if (raw := t.encode()) == b"".join(map(a.bytes.__getitem__, x.tolist())) == b"".join(map(b.bytes.__getitem__, y.tolist()))
-            and raw]
+
+def aligned(texts: list[str], a: Tables, b: Tables) -> tuple[np.ndarray, list[str | None], np.ndarray, np.ndarray]:
+    """Of each text, which begins with a blank: counts of tokens on both sides and of links, and its groups
+    as text (None: without tokens); all links as pairs (second id, first id), and their texts."""
+    counts, groups = np.zeros((len(texts), 3), np.int64), [None] * len(texts)
+    if not texts:
+        return counts, groups, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    same = list(zip(range(len(texts)), *(t.tokenizer.encode(texts) for t in (a, b))))
+    raw = [t.encode() for t in texts]
+
+    whole = np.frombuffer(b"".join(raw), np.uint8)
+
+    def spelled(side: int, table: Tables) -> bool:
+        """Whether the tokens of every text spell it: all at once, since that is the rule."""
+        flat = np.fromiter(chain.from_iterable(s[side] for s in same), np.int64)
+        size = table.size[flat]
+        end = np.append(0, np.cumsum(size))
+        if end[-1] != len(whole) or (end[np.cumsum([len(s[side]) for s in same])] != np.cumsum([len(r) for r in raw])).any():
+            return False
+        return bool((table.line[np.repeat(table.begin[flat] - end[:-1], size) + np.arange(len(whole))] == whole).all())
+
+    if not (spelled(1, a) and spelled(2, b)):
+        same = [(k, x, y) for (k, x, y), r in zip(same, raw) if x and r == b"".join(map(a.bytes.__getitem__, x)) == b"".join(map(b.bytes.__getitem__, y))]
     if not same:
-        return stats, digests, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return counts, groups, np.zeros(0, np.int64), np.zeros(0, np.int64)
     place, n_a, n_b = np.array([k for k, *_ in same]), np.array([len(x) for _, x, _ in same]), np.array([len(y) for *_, y in same])
-    x, y = np.concatenate([x for _, x, _ in same]), np.concatenate([y for *_, y in same])
+    x, y = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in ([x for _, x, _ in same], [y for *_, y in same]))
     # the texts lie one after the other, so that ends are numbers of one line of bytes
     end_a, end_b = np.cumsum(a.size[x]), np.cumsum(b.size[y])
     at = np.searchsorted(end_a, end_b)
     meets = end_a[at] == end_b
     first, second, common = x[at[meets]], y[meets], end_b[meets]
     text = np.searchsorted(np.cumsum(n_b), np.flatnonzero(meets), side="right")
-    n_links = np.bincount(text, minlength=len(same))
-    stats[place] = np.stack([n_a, n_b, n_links, n_links], axis=1)
+    counts[place] = np.stack([n_a, n_b, np.bincount(text, minlength=len(same))], axis=1)
     group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
     printed = np.empty(len(x) + len(y), object)
     printed[np.arange(len(x)) + np.searchsorted(group_b, group_a)] = np.where(common[group_a] == end_a, a.last[x], a.inner[x])
     printed[np.arange(len(y)) + np.searchsorted(group_a, group_b, side="right")] = np.where(meets, b.last[y], b.inner[y])
     begin = 0
     for k, n in zip(place.tolist(), (n_a + n_b).tolist()):
-        digests[k] = hashlib.sha256("".join(printed[begin:begin + n].tolist())[:-1].encode()).hexdigest()
+        groups[k] = "".join(printed[begin:begin + n].tolist())[:-1]
+        begin += n
+    return counts, groups, second << 32 | first, place[text]
+
+
+def segments(text: str) -> list[str]:
+    """A blank and the text, cut about every ``SEGMENT`` characters at places that neither tokenizer looks across."""
+    text, out, begin = " " + text, [], 0
+    while (m := _CUT.search(text, begin + SEGMENT)) is not None:
+        out.append(text[begin:m.start()])
+        begin = m.start()
+    return [*out, text[begin:]]
+
+
+def measured(texts: list[str | None], a: Tables, b: Tables) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """STATS of each text and the digest of its groups; all links, and the text of each.
+
+    Groups never reach over a cut, since tokens of both sides end there.
+    """
+    cuts = a.tokenizer.cuts and b.tokenizer.cuts
+    parts = [[] if not t else segments(t) if cuts else [" " + t] for t in texts]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    counts, groups, pairs, part = aligned([x for p in parts for x in p], a, b)
+    whole = np.ones(len(texts), bool)
+    whole[owner[counts[:, 0] == 0]] = False  # a part is spelled otherwise: the text has no tokens
+    stats = np.zeros((len(texts), 3), np.int64)
+    np.add.at(stats, owner[whole[owner]], counts[whole[owner]])
+    digests, begin = [], 0
+    for n, ok in zip(sizes.tolist(), whole.tolist()):
+        digests.append(hashlib.sha256(";".join(groups[begin:begin + n]).encode()).hexdigest() if n and ok else "")
         begin += n
-    return stats, digests, second << 32 | first, place[text]
+    text = owner[part]
+    return stats[:, [0, 1, 2, 2]], digests, pairs[whole[text]], text[whole[text]]
 
 
 def runs(chunk: int, pair: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """One row per radix of the second id: its pairs with their counts, and its pair-document records."""
+    known, inverse = np.unique(pair, return_inverse=True)
+    order = np.lexsort((known, (known >> 32) & (RADIX - 1)))  # by radix, then by second id
+    rank = np.empty(len(known), np.int64)
+    rank[order] = np.arange(len(known))
+    both, n = np.unique(rank[inverse] << 32 | place, return_counts=True)  # one record per pair and document
+    pair, place = known[order][both >> 32], both & 0xFFFFFFFF
     radix = (pair >> 32) & (RADIX - 1)
-    order = np.lexsort((place, pair, radix))
-    pair, place, radix = pair[order], place[order], radix[order]
-    fresh = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))  # one record per pair and document
-    n = np.diff(fresh, append=len(pair))
-    pair, place, radix = pair[fresh], place[fresh], radix[fresh]
     bounds = np.searchsorted(radix, np.arange(RADIX + 1))
     found: dict[str, list] = {"radix": [], "pairs": [], "records": []}
     for r in range(RADIX):
@@ -198,7 +253,7 @@ def spilled(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
                 while end < len(texts) and (end == begin or taken < SLICE_BYTES):
                     taken += len(texts[end] or "") + ROW_BYTES
                     end += 1
-                stats, digests, pair, text = aligned(texts[begin:end], a, b)
+                stats, digests, pair, text = measured(texts[begin:end], a, b)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(end - begin, chunk)), pa.array(np.arange(place, place + end - begin)), ids.slice(begin, end - begin),
                      *[pa.array(np.ascontiguousarray(s)) for s in stats.T], pa.array(digests, pa.string()),
@@ -280,8 +335,8 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     sentencepiece model that puts the blank itself. Special strings in texts are text. Texts that are
     null or empty, or whose joined token bytes differ from blank and text on either side, have no
     tokens: zeros and an empty digest. Ids may be null or repeat, rows may repeat: each row counts.
-    Texts over ``SEGMENT`` characters are tokenized in pieces cut at single blanks, which changes no token;
-    one without blanks is tokenized whole. Extra columns are ignored; an empty table gives no rows.
+    Texts over ``SEGMENT`` characters are tokenized in parts cut at single blanks between letters, which
+    changes no token; one without such blanks is tokenized whole. Extra columns are ignored; an empty table gives no rows.
     """
     all_rows = written(spilled(docs, a_path, b_path, id_col, text_col), "spilled-runs")
     found = all_rows.where("radix IS NOT NULL")
