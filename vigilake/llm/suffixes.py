@@ -101,12 +101,14 @@ def padded(buf: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, ste
     return rows
 
 
-def ordered(rows: np.ndarray, *before: np.ndarray) -> np.ndarray:
-    """Lexicographic order of byte rows, after other keys."""
+def ordered(rows: np.ndarray, *before: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+    """Lexicographic order of byte rows, after other keys; of rows that differ only in the zeros
+    they end with, padding included, the shorter comes first."""
     wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
     wide[:, :rows.shape[1]] = rows
     words = wide.view(">u8")
-    return np.lexsort([words[:, i] for i in range(words.shape[1] - 1, -1, -1)] + list(before[::-1]))
+    last = [] if size is None else [size]
+    return np.lexsort(last + [words[:, i] for i in range(words.shape[1] - 1, -1, -1)] + list(before[::-1]))
 
 
 def common(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -125,7 +127,7 @@ def lowest_documents(gram, left, count, doc, buf, start, width: int, gram_size:
     n = len(gram)
     right_size = count.astype(np.int64) - 1 + width - left
     right = padded(buf, start + left, right_size, width)
-    order = ordered(right, gram)
+    order = ordered(right, gram, size=right_size)
     lcp = common(right[order], right_size[order])
     lcp[np.append(True, gram[order][1:] != gram[order][:-1])] = -1
     lowest = np.repeat(doc[:, None], reach, 1)
@@ -134,7 +136,7 @@ def lowest_documents(gram, left, count, doc, buf, start, width: int, gram_size:
         return lowest
     # left of the anchor: class of the last l bytes, for every l
     left_rows = padded(buf, start + left - 1, left, reach - 1, -1)
-    by_left = ordered(left_rows, gram)
+    by_left = ordered(left_rows, gram, size=left)
     lcs = common(left_rows[by_left], left[by_left])
     lcs[np.append(True, gram[by_left][1:] != gram[by_left][:-1])] = -1
     classes = np.empty((n, reach), np.int64)
