@@ -91,6 +91,46 @@ def test_csv_with_line_breaks_in_quotes(spark, tmp_path):
     assert got == [("1.1.1.1", "two\nlines"), ("1.1.1.2", "one")]
 
 
+def test_quoted_line_breaks_over_many_splits(spark, tmp_path):
+    import csv
+    import random
+
+    rng = random.Random(8)
+    files = {}
+    for name in ("a.csv", "b.csv"):
+        files[name] = [["ip", "msg"]] + [[f"10.0.{n // 250}.{n % 250}", "".join(rng.choice(["x", 'say "', "\n", "\n\n", ",", "long word "]) for _ in range(rng.choice([0, 1, 3, 60])))]
+                                         for n in range(700)]
+        with open(tmp_path / name, "w", newline="") as out:
+            csv.writer(out, lineterminator="\n", quoting=csv.QUOTE_ALL if name == "a.csv" else csv.QUOTE_MINIMAL).writerows(files[name])
+    settings = {"spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "4000"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        frame = read_csv_events(spark, str(tmp_path), multiline=True)
+        got = {}
+        for r in frame.select("source_file", "seq", "src_ip", "message").collect():
+            got.setdefault(r.source_file[-5:], []).append((r.seq, r.src_ip, r.message))
+        parts = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert parts > 10
+    for name, rows_ in files.items():
+        assert [(ip, (msg or "").strip()) for _, ip, msg in sorted(got[name])] == [(ip, msg.strip()) for ip, msg in rows_[1:]]
+
+
+def test_stray_quotes_end_with_the_longest_record(spark):
+    from vigilake.sources.delimited import quoted_records
+
+    rows_ = [("f", 0, n, v) for n, v in enumerate(['a,"b', "c", 'd"', 'e"'] + ["x"] * 9)] + [("f", 50, 60 + n, v) for n, v in enumerate(["y", 'z"', "end"])]
+    lines = spark.createDataFrame(rows_, "source_file string, split long, seq long, value string")
+    whole = sorted((r.seq, r.value) for r in quoted_records(lines).collect())
+    assert whole == [(0, 'a,"b\nc\nd"'), (3, "\n".join(['e"'] + ["x"] * 9 + ["y", 'z"'])), (62, "end")]
+    short = sorted((r.seq, r.value) for r in quoted_records(lines, longest=5).collect())
+    assert short == [(0, 'a,"b\nc\nd"'), (3, 'e"')] + [(n, "x") for n in range(4, 13)] + [(60, "y"), (61, 'z"'), (62, "end")]
+
+
 def test_json_layouts(spark, tmp_path):
     one, two = {"ip": "1.1.1.1", "n": {"user": "a"}}, {"ip": "1.1.1.2", "n": [{"user": "b"}]}
     (tmp_path / "lines.jsonl").write_text(f"{json.dumps(one)},\nnot json\n3\n[{json.dumps(two)}, 4]\n")

@@ -71,18 +71,25 @@ def load_events(spark: SparkSession, paths, default_year: int | None = None) ->
 
 def analyze(spark: SparkSession, paths, output: str | None = None, formats: str = "sigma",
             severity: str = "all", thresholds: dict[str, int] | None = None,
-            default_year: int | None = None) -> DataFrame:
+            default_year: int | None = None, scoped: bool = False) -> DataFrame:
     """Findings of a directory of logs at or above a severity.
 
     Events are written once (to ``output``, or to the shared folder), so that the text is
     parsed a single time and each rule family reads only its own type and columns. With
-    ``output`` the findings and rules are written next to them.
+    ``output`` the findings and rules are written next to them: in place of all that is there, or,
+    with ``scoped``, of what is there for the files of this run (``catalog.replace_scopes``).
     """
-    base = output.rstrip("/") if output else shared_path(spark, "analyze")
+    base = output.rstrip("/") if output and not scoped else shared_path(spark, "analyze")
     events = load_events(spark, paths, default_year)
     catalog.write_events(events, f"{base}/events")
     stored = spark.read.schema(events.schema).parquet(f"{base}/events")
     findings = written(filter_severity(detect_all(stored, thresholds), severity), "findings")
+    if output and scoped:
+        scopes, base = stored.select("scope").distinct(), output.rstrip("/")
+        catalog.replace_scopes(stored, f"{base}/events", scopes)
+        catalog.replace_scopes(findings, f"{base}/findings", scopes)
+        catalog.replace_scopes(catalog.rules_table(findings, formats), f"{base}/rules", scopes, ("format", "rule_name"))
+        return findings
     if output:
         catalog.write_findings(findings, f"{base}/findings")
         rules = catalog.rules_table(findings, formats)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake import fixed
 from vigilake.functions import text
+from vigilake.session import written
 
 AUTHOR = "Vigilake"
 
@@ -188,3 +189,46 @@ def write_events(events: DataFrame, path: str) -> None:
     """The canonical events, partitioned by log type so that each rule family reads only
     its own part and flag filters reach the scan."""
     events.write.mode("overwrite").partitionBy("log_type").parquet(path)
+
+
+BUCKETS = 64
+
+
+def replace_scopes(rows: DataFrame, path: str, scopes: DataFrame | None = None, by: tuple[str, ...] = ("log_type",),
+                   scope: str = "scope", buckets: int = BUCKETS) -> None:
+    """Rows of a run into a table that keeps the rows of all scopes the run did not read.
+
+    ``scopes`` names what the run read, also where nothing was found (by default the scopes in
+    ``rows``): their old rows go, those of other scopes stay. The table lies under
+    ``bucket=…`` of the scope's hash and then ``by``; only buckets that hold one of the scopes are
+    read and written. A run that is repeated leaves the same table; one that was cut off is put
+    right by repeating it.
+    """
+    spark = rows.sparkSession
+    hashed = F.pmod(F.xxhash64(scope), F.lit(buckets)).cast("int")
+    read = written((rows if scopes is None else scopes).select(scope).distinct().withColumn("bucket", hashed), "scopes")
+    touched = sorted(r["bucket"] for r in read.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+    new = rows.withColumn("bucket", hashed)
+    files = spark._jvm.org.apache.hadoop.fs
+    root = files.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = system.exists(root) and any(s.getPath().getName().startswith("bucket=") for s in system.listStatus(root))
+    stale = []
+    if there:
+        old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+        kept = written(old.join(read.select(scope), scope, "left_anti").select(new.columns), "kept-scopes")
+        stale = [tuple(r) for r in old.select("bucket", *by).distinct().collect()]  # folders, as many as the table has
+        new = written(new.unionByName(kept), "new-scopes")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", *by).parquet(path)
+    if stale:
+        full = {tuple(r) for r in new.select("bucket", *by).distinct().collect()}
+        escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        for gone in set(stale) - full:
+            parts = [f"{c}={escaped.escapePathName(str(v)) if v is not None else '__HIVE_DEFAULT_PARTITION__'}" for c, v in zip(("bucket", *by), gone)]
+            system.delete(files.Path("/".join([path, *parts])), True)
+
+
+def read_scopes(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """What ``replace_scopes`` has stored; a table that may be empty needs its schema."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(path).drop("bucket")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilake import fixed
@@ -98,28 +98,50 @@ def _named(rows: DataFrame, log_type: str) -> DataFrame:
     )
 
 
+def quoted_records(lines: DataFrame, longest: int = 10_000) -> DataFrame:
+    """Lines ``(source_file, split, seq, value)`` -> records whose quoted cells may hold line breaks.
+
+    A line with an odd number of quotes opens or closes a quoted break. Every file split counts its
+    own quotes; a prefix sum over the few splits of a file tells with which state each begins, and
+    where the record that reaches into it started. So files are split as usual, and only lines of
+    records that span several are brought together. Breaks become line feeds. A record of more than
+    ``longest`` lines, as a stray quote makes one of the rest of a file, is read as single lines.
+    """
+    inside = Window.partitionBy("source_file", "split").orderBy("seq")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    rows = lines.withColumn("_odd", quotes % 2).withColumn("_before", F.coalesce(F.sum("_odd").over(so_far), F.lit(0)) % 2)
+    splits = rows.groupBy("source_file", "split").agg(
+        F.sum("_odd").alias("odd"), *[F.max(F.when(F.col("_before") == k, F.col("seq"))).alias(f"last{k}") for k in (0, 1)])
+    earlier = Window.partitionBy("source_file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2
+    splits = splits.withColumn("_start", start).withColumn("last", F.when(F.col("_start") == 0, F.col("last0")).otherwise(F.col("last1")))
+    splits = written(splits.select("source_file", "split", "_start", ((F.col("_start") + F.col("odd")) % 2 == 1).alias("_over"),
+                                   F.max("last").over(earlier).alias("_carried")), "csv-splits")
+    rows = rows.join(splits, ["source_file", "split"]).withColumn("_open", (F.col("_start") + F.col("_before")) % 2 == 1)
+    begun = F.max(F.when(~F.col("_open"), F.col("seq"))).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumns({"_record": F.coalesce(begun, "_carried"), "_on": F.coalesce(F.lead("_open").over(inside), "_over")})
+    several = F.col("_open") | F.col("_on")
+    single = rows.where(~several).select("source_file", "seq", "value")
+    parts = rows.where(several).select("source_file", "_record", "seq", "value")
+    sizes = parts.groupBy("source_file", "_record").count()
+    parts = parts.join(sizes, ["source_file", "_record"])
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "value")))
+    joined = parts.where(F.col("count") <= longest).groupBy("source_file", "_record").agg(ordered.alias("_lines")).select(
+        "source_file", F.col("_record").alias("seq"), F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("value"))
+    alone = parts.where(F.col("count") > longest).select("source_file", "seq", "value")
+    return single.unionByName(joined).unionByName(alone)
+
+
+def _split_lines(spark: SparkSession, paths) -> DataFrame:
+    return spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split"), sequence().alias("seq"), "value")
+
+
 def read_csv_events(spark: SparkSession, paths, multiline: bool = False, log_type: str = "csv") -> DataFrame:
-    """Events of CSV files. ``multiline=True`` also reads quoted line breaks, at the price
-    of files that cannot be split; the record's cells joined again stand for its text."""
-    heads = scan_text(spark, paths, head=True)
+    """Events of CSV files. ``multiline=True`` also reads quoted line breaks (``quoted_records``), at
+    the price of a shuffle of the lines."""
     if not multiline:
-        return csv_events(scan_text(spark, paths), log_type, heads)
-    headers, width = _written_headers(heads)
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    parts = []
-    for delimiter in fixed.DELIMITERS:
-        rows = spark.read.csv(
-            paths, schema=schema, sep=delimiter, quote='"', escape='"', multiLine=True,
-            mode="PERMISSIVE", header=False,
-        ).select(
-            F.col("_metadata.file_path").alias("source_file"), sequence().alias("seq"),
-            F.array(*[F.coalesce(f"c{i}", F.lit("")) for i in range(width)]).alias("cells"),
-        )
-        parts.append(rows.join(headers.filter(F.col("delimiter") == delimiter), "source_file"))
-    rows = reduce(DataFrame.unionByName, parts).drop("names", "keys")
-    first = rows.filter(F.exists("cells", lambda c: text.strip(c) != "")).groupBy("source_file").agg(
-        F.min("seq").alias("first_row"), F.min_by("cells", "seq").alias("names")
-    )
-    first = _columns(first.withColumn("names", F.transform("names", lambda c: F.ltrim(c, F.lit(BOM)))))
-    body = rows.join(first, "source_file").filter("seq > first_row")
-    return _named(body.withColumn("value", F.array_join("cells", ",")), log_type)
+        return csv_events(scan_text(spark, paths), log_type, scan_text(spark, paths, head=True))
+    lines = _split_lines(spark, paths)
+    return csv_events(quoted_records(lines), log_type, quoted_records(lines.filter("split = 0")))

@@ -33,11 +33,13 @@ def selection(rule: str, keywords: list[str] | None = None) -> Column:
 
 def windowed_alerts(events: DataFrame, chosen: Column, rule: str, key: str = "src_ip",
                     length: str | None = None, threshold: int | None = None,
-                    slide: str | None = None, watermark: str | None = None) -> DataFrame:
+                    slide: str | None = None, watermark: str | None = None, timed: bool = False) -> DataFrame:
     """Windows with strictly more than ``threshold`` chosen records per key.
 
     Tumbling unless ``slide`` is given. Records without a time or key are left out.
     Counts are combined before the shuffle, so one hot key stays one row per task.
+    ``timed`` adds ``alert_time``, the last instant of the window: on a stream it carries the
+    watermark on, so that another stateful step may follow (``earliest_per_period``).
     """
     length, threshold = length or WINDOWED[rule][0], WINDOWED[rule][1] if threshold is None else threshold
     rows = events.filter(chosen & F.col("event_ts").isNotNull() & F.col(key).isNotNull())
@@ -48,6 +50,7 @@ def windowed_alerts(events: DataFrame, chosen: Column, rule: str, key: str = "sr
     return counted.filter(F.col("hits") > threshold).select(
         F.lit(rule).alias("rule_name"), key, F.col("window.start").alias("window_start"),
         F.col("window.end").alias("window_end"), "hits",
+        *([F.window_time("window").alias("alert_time")] if timed else []),
     )
 
 
@@ -65,6 +68,22 @@ def throttle(alerts: DataFrame, per: str = "1 hour", time: str = "window_start",
     ).select("_first.*")
 
 
+def earliest_per_period(alerts: DataFrame, per: str = "1 hour", time: str = "window_start", key: str = "src_ip",
+                        watermark: str | None = None) -> DataFrame:
+    """The earliest alert per rule and source in each period of the clock, batch and stream alike.
+
+    A stream holds a source's first alert until the watermark has passed the end of the period,
+    so that one that arrives late but within ``watermark`` still wins; then it comes out and its state
+    goes. ``watermark`` is needed where ``time`` carries none yet. Of equal times the smallest row in
+    the order of the columns stays. State is one row per rule, source and open period.
+    """
+    rows = alerts.withWatermark(time, watermark) if watermark and alerts.isStreaming else alerts
+    columns = [time, *[c for c in alerts.columns if c != time]]
+    first = F.min(F.struct(*[F.col(c) for c in columns])).alias("_first")
+    return rows.groupBy("rule_name", key, F.window(time, per).alias("_period")).agg(first).select(
+        *[F.col(f"_first.{c}").alias(c) for c in alerts.columns])
+
+
 def running_counts(events: DataFrame, rule: str, name: str, threshold: int, scope: str = "source_file") -> DataFrame:
     """Per (scope, address) hits of a flag once they reach the threshold; as a stream, in
     update mode, each change of a count is emitted."""

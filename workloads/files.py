@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilake.plans.analyze import events_for, load_events
 from vigilake.session import shared_path
+from vigilake.sources.delimited import read_csv_events
 from vigilake.sources.json_docs import read_json_events
 from vigilake.sources.lines import scan_text
 from workloads.logs import YEAR, Logs
@@ -74,6 +75,17 @@ class FileLogs(Logs):
         return self.read("xml_records", "xml")
 
 
+class QuotedLogs(FileLogs):
+    """Firewall files whose quoted notes go over two lines."""
+
+    @cached_property
+    def csv(self):
+        path = shared_path(self.spark, "files-quoted")
+        rows = Logs.raw(self, "firewall_lines").withColumn("value", F.replace("value", F.lit("a, quoted"), F.lit("a,\nquoted")))
+        rows.repartition("source_file").sortWithinPartitions("source_file", "seq").select("source_file", "value").write.partitionBy("source_file").text(path)
+        return self.named(read_csv_events(self.spark, path, multiline=True))
+
+
 def directory_counts(logs: Logs) -> DataFrame:
     """Events per file and type of one directory of many formats, known by content alone.
 

@@ -21,8 +21,8 @@ from vigilake.sources import formats
 from vigilake.sources.lines import clean_lines
 from vigilake.sources.windows import win_layout
 from vigilake.streaming import alerts
-from workloads import oracle
-from workloads.files import FileLogs, directory_counts
+from workloads import oracle, streams, tables
+from workloads.files import FileLogs, QuotedLogs, directory_counts
 from workloads.logs import Logs
 from workloads.oracle import keyed, sql, total
 
@@ -661,7 +661,18 @@ _ON_FILES = ["src1_text_lines", "src2_auth_events", "src3_web_events", "src4_win
 for _name in _ON_FILES:
     register(f"{_name}_files", lambda logs, run=QUERIES[_name]: run(FileLogs(logs.spark, logs.sf_dir)).drop("seq"),
              f"SELECT * EXCLUDE (seq) FROM ({SQL[_name]}) AS t")
+register("src7_csv_quoted_breaks_files", lambda logs: QUERIES["src7_csv_events"](QuotedLogs(logs.spark, logs.sf_dir)).drop("seq"),
+         f"""SELECT * EXCLUDE (seq) REPLACE (replace(raw, 'a, quoted', 'a,' || chr(10) || 'quoted') AS raw, replace(note, 'a, quoted', 'a,' || chr(10) || 'quoted') AS note)
+FROM ({SQL['src7_csv_events']}) AS t""")
 register("src13_directory_files", directory_counts, "\nUNION ALL ".join(
     f"SELECT source_file, '{kind}' AS log_type, count(*) AS n FROM ({SQL[name]}) AS t GROUP BY source_file"
     for name, kind in (("src2_auth_events", "auth"), ("src3_web_events", "apache"), ("src4_win_tabular", "windows"), ("src5_win_blocks", "windows"),
                        ("src8_json_lines", "json"), ("src10_windows_event_xml", "xml"))))
+
+# --- streams in several micro-batches ------------------------------------------------
+for _name, _run in streams.registered(QUERIES, SQL)[0].items():
+    register(_name, _run, streams.registered(QUERIES, SQL)[1][_name])
+
+# --- rules and keywords from tables, re-runs per scope --------------------------------
+for _name, (_run, _statement) in tables.REGISTERED.items():
+    register(_name, _run, _statement)
