@@ -1,7 +1,6 @@
 """Operators against plain versions, on texts with nulls, blanks, ties, repeats, one very long text."""
 
 import hashlib
-import math
 import random
 import zlib
 from collections import Counter
@@ -119,35 +118,20 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).collect() == []
 
 
-def test_similar_texts(docs, empty):
-    def bits(text):
-        w = (text or "").encode().translate(LOWER).split()
-        s = [b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))] if w else []
-        h = np.array([xxhash.xxh64_intdigest(x, 42) for x in s], np.uint64)
-        return [int(x) for x in simhash.majority(h, 8)]
-
-    assert math.isclose(math.cos(math.pi * simhash.open_share(0.8)), 0.8 / 0.9)
-    bound = simhash.bound(0.8, 8)
-    fps = [bits(r[1]) for r in ROWS]
-    assert [f[0] for f in fps] == [simhash.fingerprint(r[1], 5) for r in ROWS]
+def test_one_row_per_class(spark, docs, empty):
+    fps = [simhash.fingerprint(r[1], 3) for r in ROWS]
     label = list(range(len(ROWS)))
     for _ in range(len(ROWS)):
-        label = [min(label[j] for j in range(len(ROWS)) if sum((x ^ y).bit_count() for x, y in zip(fps[i], fps[j])) <= bound)
-                 for i in range(len(ROWS))]
-    lowest = {c: min((r[0] for r, d in zip(ROWS, label) if d == c and r[0] is not None), default=None) for c in label}
-    kept = simhash.without_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(lowest[c] for c in set(label))
-    assert simhash.without_near_duplicates(empty).collect() == []
+        label = [min(label[j] for j in range(len(ROWS)) if (fps[i] ^ fps[j]).bit_count() <= 2) for i in range(len(ROWS))]
 
+    def first(mine):
+        return min(mine, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
 
-def test_keys_meet_close_pairs():
-    rng = np.random.default_rng(5)
-    share = simhash.open_share(0.8)
-    for count in (1000, 10 ** 9):
-        positions = simhash.samples(count, share, 0.95, 512)
-        differs = np.stack([rng.permutation(512) < int(512 * share) for _ in range(400)])
-        assert (~differs[:, positions].any(axis=2)).any(axis=1).mean() > 0.9
+    want = [first([r for r, d in zip(ROWS, label) if d == c]) for c in set(label)]
+    kept = simhash.without_near_duplicates(docs.withColumnsRenamed({"row": "row_key", "chunk": "ROW_STATE"}))
+    assert kept.columns == [{"row": "row_key", "chunk": "ROW_STATE"}.get(c, c) for c in docs.columns]
+    assert Counter((r.doc_id, r.text or "", r.row_key) for r in kept.collect()) == Counter((r[0], r[1] or "", "x") for r in want)
+    assert simhash.without_near_duplicates(empty).collect() == []
 
 
 @pytest.mark.parametrize(("width", "distance"), [(1, 2), (8, 40)])
@@ -216,9 +200,13 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert got() == want
     assert fmindex.hits(empty, bench).collect() == []
     assert not any(r.contaminated for r in fmindex.hits(docs, bench.limit(0)).collect())
-    clean = fmindex.without_spans(docs, bench)
+    one = fmindex.without_spans(docs, bench)
+    monkeypatch.setattr(fmindex, "BLOCK_BYTES", 10 ** 9)
+    clean = fmindex.without_spans(docs.withColumnsRenamed({"row": "__spans", "chunk": "__found"}), bench).withColumnsRenamed({"__spans": "row", "__found": "chunk"})
+    assert Counter(map(tuple, one.collect())) == Counter(map(tuple, clean.collect()))
     assert clean.columns == docs.columns and not any(r.contaminated for r in fmindex.hits(clean, bench.where("item_id = 'i1' AND text <> 'One'")).collect())
-    assert clean.count() == len(ROWS)
+    covered = sum(n for (_, size, hit, *_), n in want.items() if size and hit == size)  # rows without a word left go
+    assert clean.count() == len(ROWS) - covered
 
 
 def test_token_counts(docs, empty):
@@ -305,12 +293,41 @@ def test_mixing(spark, docs, empty):
     tokens = Counter((r["__source"], r["__lang"], r["__topic"]) for r in out)
     assert sum(tokens.values()) == len(ROWS) and all(0 <= r["__rate"] <= 1 for r in out)
     assert all(r["__tokens"] == len(words(r.text)) and (r["__tokens"] or not r["__drawn"]) for r in out)
-    cells = spark.createDataFrame([("a", "en", "p", 100), ("a", "de", "q", 50), ("b", "en", "q", 30), ("b", "de", "p", 20)], "source string, lang string, topic string, tokens long")
-    targets = {d: spark.createDataFrame([(k, s) for k, s in t.items()], f"{d} string, share double") for d, t in
-               {"source": {"a": 0.4, "b": 0.6}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"p": 0.5, "q": 0.5}}.items()}
-    raked = mixing.rake(cells, targets, sweeps=60).collect()
-    for d, key, share in (("source", "a", 0.4), ("lang", "en", 0.5), ("topic", "p", 0.5)):
-        assert abs(sum(r.share for r in raked if r[d] == key) - share) < 1e-6
+    # what is expected to be drawn of each key: its tokens to a power, all of them at most
+    for d in ("source", "lang", "topic"):
+        has, drawn = Counter(), Counter()
+        for r in out:
+            has[r[f"__{d}"]] += r["__tokens"]
+            drawn[r[f"__{d}"]] += r["__tokens"] * r["__rate"]
+        has = {k: n for k, n in has.items() if n}
+        low, high = 0.0, float(sum(has.values()))
+        for _ in range(200):
+            m = (low + high) / 2
+            low, high = (low, m) if sum(min(n, m * n ** 0.5) for n in has.values()) > sum(has.values()) / 2 else (m, high)
+        for k, n in has.items():
+            miss = max((r["__off"] for r in out if r[f"__{d}"] == k and r["__tokens"]), default=0)
+            assert abs(drawn[k] / min(n, low * n ** 0.5) - 1) <= miss + 1e-6
+    assert {f"__{k}" for k in ("rate", "off", "drawn")} <= set(mixing.mix(docs).columns)
+    cells = spark.createDataFrame([("a", "en", "p", 100), ("a", "de", "q", 50), ("b", "en", "q", 30), ("b", "de", "p", 20), ("c", "en", "p", 9)],
+                                  "source string, lang string, topic string, tokens long")
+
+    def raked(keep, **shares):
+        tables = {d: spark.createDataFrame([(k, s) for k, s in t.items()], f"{d} string, share double") for d, t in shares.items()}
+        return mixing.rake(cells, mixing.given(cells, tables, keep), sweeps=40).collect()
+
+    # b can give 50 of 209 tokens and should be 0.4 of what is drawn: 125 at most, not half of all but a quarter
+    wanted = {"source": {"a": 0.6, "b": 0.4}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"p": 0.5, "q": 0.5}}
+    for keep, budget in ((0.25, 209 / 4), (0.5, 209 / 2), (0.9, 125)):
+        found = raked(keep, **wanted)
+        assert all(r.drawn <= r.tokens + 1e-9 for r in found) and not any(r.source == "c" for r in found)
+        for d, t in wanted.items():
+            for key, share in t.items():
+                got = sum(r.drawn for r in found if r[d] == key)
+                miss = max(r.off for r in found if r[d] == key)
+                assert abs(got / (share * budget) - 1) <= miss + 1e-9 and (keep > 0.25 or miss < 1e-6)
+    drawn = mixing.drawn_rows(docs.withColumnsRenamed({"row": "__tokens", "chunk": "__rate"}), keep=0.5, power=0.5)
+    assert Counter(r.doc_id for r in drawn.collect()) == Counter(r.doc_id for r in out if r["__drawn"])
+    assert mixing.drawn_rows(empty).collect() == []
     assert mixing.mix(empty).collect() == []
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilake.session import shared_path, written
 
-__all__ = ["BLANKS", "LOWER", "WORD", "documents", "exactly", "partitions", "shared_path", "table", "words_of", "written"]
+__all__ = ["BLANKS", "LOWER", "WORD", "documents", "exactly", "free", "partitions", "shared_path", "table", "words_of", "written"]
 
 #: A word is a run of anything but the six ASCII blanks; ``bytes.split()`` cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,3 +37,11 @@ def words_of(text: str | None) -> list[bytes]:
 def exactly(name: str) -> Column:
     """A column by its full name, dots and blanks included."""
     return F.col(f"`{name.replace('`', '``')}`")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -16,7 +16,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import exactly, written
@@ -152,32 +152,48 @@ def occurrences(texts: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray,
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text",
-           item_col: str = "item_id") -> DataFrame:
-    """docs with __words (number of words), __spans (merged word spans, end excluded) and __items (item ids found).
+           item_col: str = "item_id", prefix: str = "__") -> DataFrame:
+    """docs with words (number of words), spans (merged word spans, end excluded) and items (item ids
+    found), each after ``prefix``.
 
     An item's windows are its runs of ``width`` words, or all its words if it has fewer.
-    Test items are taken in blocks of bounded size; every block is searched in all rows.
+    Test items are taken in blocks of bounded size; every block is searched in all rows, and
+    spans of several blocks are merged, so that the size of the benchmark changes no result.
     Null and empty texts have no words and no hits; items without words match nothing;
     items without id mark spans but are not listed; repeated items and rows change nothing;
-    an empty benchmark leaves all documents clean. Other columns stay as they are.
+    an empty benchmark leaves all documents clean. Other columns stay as they are, but for
+    those of the three names: ``without_spans`` finds a free prefix.
     """
+    words_, spans_, items_, found_ = (f"{prefix}{c}" for c in ("words", "spans", "items", "found"))
     items = benchmark.select(exactly(item_col).cast("string").alias("item"), exactly("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + int(size) // BLOCK_BYTES
-    out = docs.withColumns({"__words": F.lit(0).cast("long"), "__spans": F.array().cast("array<struct<a:bigint,b:bigint>>"),
-                            "__items": F.array().cast("array<string>")})
-    where = F.pmod(F.xxhash64("text"), F.lit(blocks))
+    out = docs.withColumns({words_: F.lit(0).cast("long"), spans_: F.array().cast(SPANS), items_: F.array().cast("array<string>")})
+    # copies of one text are dealt by their ids, so a block stays near its share
+    where = F.pmod(F.xxhash64("text", "item"), F.lit(blocks))
     for block in range(blocks):
-        # at most about BLOCK_BYTES of text; equal items share a block
+        # at most about BLOCK_BYTES of text
         held = [(r.item, r.text) for r in (items.where(where == block) if blocks > 1 else items).collect()]
         phrases = Phrases(held, width)
-        out = out.withColumn("__found", _finder(phrases)(exactly(text_col)))
-        spans = F.concat("__spans", "__found.spans") if block else F.col("__found.spans")
-        out = out.withColumns({"__words": F.col("__found.words"), "__spans": spans,
-                               "__items": F.array_union("__items", "__found.items")}).drop("__found")
+        out = out.withColumn(found_, _finder(phrases)(exactly(text_col)))
+        out = out.withColumns({words_: F.col(found_)["words"], spans_: F.concat(spans_, F.col(found_)["spans"]) if block else F.col(found_)["spans"],
+                               items_: F.array_union(items_, F.col(found_)["items"])}).drop(found_)
         if blocks > 1:
             out = written(out, "decontaminated")
-    return out
+    return out if blocks == 1 else out.withColumn(spans_, _disjoint(F.col(spans_)))
+
+
+SPANS = "array<struct<a:bigint,b:bigint>>"
+
+
+def _disjoint(spans: Column) -> Column:
+    """Overlapping or touching spans as one, in order."""
+    def add(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))))
+        return F.when(last.isNotNull() & (s["a"] <= last["b"]), longer).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), add)
 
 
 def _finder(phrases: Phrases):
@@ -217,25 +233,27 @@ def merged(spans) -> list[dict]:
     return out
 
 
-def _joined(spans) -> list[tuple[int, int]]:
-    return [(s["a"], s["b"]) for s in merged((x["a"], x["b"]) for x in spans)]
-
-
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per row (see ``marked``)."""
     found = marked(docs.select(exactly(id_col).cast("long").alias("doc_id"), exactly("text").cast("string").alias("text")), benchmark, width)
-    # spans of one block are disjoint; those of several are joined by a running end
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
-    covered = F.aggregate(F.array_sort("__spans"), zero, lambda acc, s: F.struct(
-        (acc["n"] + F.greatest(F.lit(0).cast("long"), s["b"] - F.greatest(s["a"], acc["to"]))).alias("n"),
-        F.greatest(acc["to"], s["b"]).alias("to")))["n"]
+    covered = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     return found.select("doc_id", F.col("__words").alias("n_words"), covered.alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
                         F.sha2(F.array_join(F.array_sort("__items"), ","), 256).alias("items_sha256"),
                         (F.size("__spans") > 0).alias("contaminated"))
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """docs with every removal span cut out of ``text``; documents whose words are all cut go."""
+    """docs with every removal span cut out of ``text``; documents whose words are all cut go.
+
+    Blanks around a span stay; ``n_chars``, where there is one, is counted anew. Null and empty
+    texts, and all of an empty benchmark's documents, stay as they are; repeated rows are cut alike;
+    an empty table gives no rows. Other columns keep their values, whatever their names.
+    """
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    words_, spans_ = F.col(f"{prefix}words"), F.col(f"{prefix}spans")
+
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -244,18 +262,19 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
                 raw = t.encode("utf-8", "surrogatepass")
                 at = [m.span() for m in WORD_BYTES.finditer(raw.translate(TO_WORDS))]
                 keep, last = [], 0
-                for a, b in _joined(s):
+                for a, b in ((x["a"], x["b"]) for x in s):
                     keep.append(raw[last:at[a][0]])
                     last = at[b - 1][1]
                 t = b"".join([*keep, raw[last:]]).decode("utf-8", "surrogatepass")
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    found = marked(docs, benchmark, width)
-    whole = (F.size("__spans") == 1) & (F.col("__spans")[0]["a"] == 0) & (F.col("__spans")[0]["b"] == F.col("__words"))
-    dirty = F.size("__spans") > 0
+    found = marked(docs, benchmark, width, prefix=prefix)
+    only = F.get(spans_, F.lit(0))
+    whole = (F.size(spans_) == 1) & (only["a"] == 0) & (only["b"] == words_)
+    dirty = F.size(spans_) > 0
     # only rows with a span go through the cutter a second time
-    cleaned = found.where(~whole).withColumn("text", F.when(dirty, cut(F.when(dirty, F.col("text")), "__spans")).otherwise(F.col("text")))
+    cleaned = found.where(~whole).withColumn("text", F.when(dirty, cut(F.when(dirty, F.col("text")), spans_)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(dirty, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return cleaned.select(*[exactly(c) for c in docs.columns])

@@ -8,28 +8,21 @@ nodes. A search adds up differences on the way down and leaves a whole run as so
 sum passes the distance, or takes it whole when no bit below can pass it. Groups give
 star-shaped links; components follow from alternating star contractions in Spark.
 
-``near_duplicates`` links at a few of 64 bits and finds every link. A distance that stands
-for a similarity of 0.8 is a seventh of all bits, too much for choices of blocks and too noisy
-on 64 bits: ``without_near_duplicates`` takes wider fingerprints, and groups by sampled bits;
-what these miss at 0.8 or more comes from a join of the shingle sets.
+``near_duplicates`` names the class of every row; ``without_near_duplicates`` keeps a row of each.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import shinglejoin
-from .common import LOWER, exactly, partitions, written
-
-SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd, near 2^64 over the golden ratio
+from .common import LOWER, exactly, free, partitions, written
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -44,42 +37,29 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], "<u8")
 
 
-def majority(h: np.ndarray, width: int = 1) -> np.ndarray:
-    """``width`` times 64 bits, each set if set in over half the hashes; zero without hashes.
-
-    The first 64 are those of the hashes, the others those of hashes mixed anew.
-    """
-    ones = np.zeros(64 * width, np.int64)
-    step, offsets = 65536 // width, np.arange(1, width, dtype=np.uint64) * SPREAD
-    for begin in range(0, len(h), step):
-        part = h[begin:begin + step]
-        mixed = np.concatenate([part[:, None], _mixed(part[:, None] + offsets)], axis=1)
-        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """A second hash of hashes: multiply and fold until every bit depends on every bit."""
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return h ^ (h >> np.uint64(31))
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half the hashes; zero without hashes."""
+    ones = np.zeros(64, np.int64)
+    for begin in range(0, len(h), 65536):
+        ones += np.unpackbits(h[begin:begin + 65536, None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """Majority bits of the shingles' XXH64 (seed 42); 0 without words."""
-    return int(majority(shingle_hashes(text, words))[0])
+    return majority(shingle_hashes(text, words))
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) per row."""
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and, if asked for, a key of its own per row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t, words) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp}).astype({"doc_id": "Int64"})
+            yield batch.drop(columns="text").assign(fp=fp).astype({"doc_id": "Int64"})
 
-    return docs.select(exactly(id_col).cast("long").alias("doc_id"), exactly(text_col).cast("string").alias("text")).mapInPandas(
-        run, "doc_id long, fp long")
+    more = [] if key is None else [key.alias("key")]
+    rows = docs.select(*more, exactly(id_col).cast("long").alias("doc_id"), exactly(text_col).cast("string").alias("text"))
+    return rows.mapInPandas(run, ("key string, " if more else "") + "doc_id long, fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -309,107 +289,25 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blocks:
     return rows.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def open_share(similarity: float) -> float:
-    """Share of bits in which two texts of a shingle similarity (Jaccard) are expected to differ:
-    the angle between their count vectors, over pi."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def bound(similarity: float, width: int) -> int:
-    """Differing bits up to which values link: those expected at a similarity and one standard
-    deviation more, so that about five in six pairs just at the similarity still link."""
-    share = open_share(similarity)
-    return int(64 * width * share + math.sqrt(64 * width * share * (1 - share)))
-
-
-def samples(count: int, share: float, recall: float, bits: int) -> np.ndarray:
-    """Bit positions of the group keys, one row per key.
-
-    A key has about log2(count) - 6 bits, 16 at least, so a group of unlike values stays near
-    64 whatever the count; as many keys as make a pair at ``share`` agree in one of them with
-    probability ``recall``, and closer pairs more surely.
-    """
-    size = min(60, max(16, math.ceil(math.log2(max(count, 1))) - 6))
-    keys = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** size))
-    rng = np.random.default_rng(42)
-    return np.stack([rng.choice(bits, size, replace=False) for _ in range(keys)])
-
-
-def similar_classes(values: DataFrame, width: int, similarity: float, recall: float) -> DataFrame:
-    """(id, root) for written (id, fp) rows with distinct wide fingerprints.
+def without_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blocks: int = 4) -> DataFrame:
+    """One row of every class of ``near_duplicates``: that of the smallest id (null ids last), then of
+    the smallest text hash.
 
-    Values link at ``bound`` or fewer bits. Pairs that differ as expected at ``similarity`` are
-    met in a group with probability ``recall``, closer ones more surely. The keys are the same
-    for every table, so that two values meet or not whatever else there is.
+    Rows are told apart by id and text; of rows equal in both one stays. All columns of ``docs`` are
+    kept, whatever their names. Texts without words, null ones included, have fingerprint 0 and are
+    linked like any other; an empty table gives no rows. Only the rows that go, or that occur more
+    than once, are joined back to the texts.
     """
-    positions = samples(1, open_share(similarity), recall, 64 * width)
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weight = np.left_shift(np.int64(1), np.arange(positions.shape[1], dtype=np.int64))
-        for batch in batches:
-            if len(batch):
-                bits = np.unpackbits(np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(len(batch), -1), axis=1)
-                for part, chosen in enumerate(positions):
-                    yield batch.assign(part=np.int32(part), key=bits[:, chosen] @ weight)
-
-    rows = values.mapInPandas(keyed, "id long, fp binary, part int, key long")
-    return _rooted(rows, values.select("id"), bound(similarity, width))
-
-
-def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8,
-                            recall: float = 0.95) -> DataFrame:
-    """One row of every class: that of the smallest id (null ids last), then of the smallest text hash.
-
-    Classes are those of fingerprints of ``64 * width`` bits whose distance says ``similarity`` or
-    more, and of all texts whose shingle sets are at ``similarity`` or more (``shinglejoin``: no
-    such pair is missed); equal fingerprints always link. Rows are told apart by id and text; of
-    rows equal in both one stays. All columns of ``docs`` are kept. Texts without words are one
-    class; an empty table gives no rows.
-    """
-    text = F.sha2(F.coalesce(exactly("text"), F.lit("")), 256)
-    keyed = docs.withColumn("__key", F.concat_ws("/", text, exactly("doc_id").cast("string")))
-    plain = keyed.select(F.col("__key").alias("key"), exactly("doc_id").cast("long").alias("doc_id"), exactly("text").alias("text"))
-
-    def shaped(rows):  # rows of documents and of frequent shingles in one table
-        rows = rows.reindex(columns=["key", "doc_id", "fp", "sid", "n", "shingle", "hits"])
-        return rows.astype({"key": object, "fp": object} | dict.fromkeys(["doc_id", "sid", "n", "shingle", "hits"], "Int64")).replace({np.nan: None})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = shinglejoin.Counts()
-        for batch in batches:
-            fp, sid, size = [], [], []
-            for t in batch["text"]:
-                h = shingle_hashes(t, words)
-                distinct = np.unique(h)
-                fp.append(majority(h, width).astype(">u8").tobytes())
-                sid.append(shinglejoin.set_id(distinct))
-                size.append(len(distinct))
-                if (often := counts.add(distinct)) is not None:
-                    yield shaped(often)
-            out = pd.DataFrame({"key": batch["key"], "doc_id": batch["doc_id"], "fp": fp, "n": size,
-                                "sid": np.array(sid, np.uint64).view(np.int64)})
-            yield shaped(out)
-        if (often := counts.flush()) is not None:
-            yield shaped(often)
-
-    told = written(plain.mapInPandas(run, "key string, doc_id long, fp binary, sid long, n long, shingle long, hits long"), "fingerprints")
-    rows = told.where("key IS NOT NULL")
-    # the first row of each value, then of each class
+    columns = [exactly(c) for c in docs.columns]
+    name, state = free(docs, "row_key"), free(docs, "row_state")
+    key = F.concat_ws("/", F.sha2(F.coalesce(exactly("text").cast("string"), F.lit("")), 256), exactly("doc_id").cast("string"))
+    rows = written(fingerprints(docs, words, key=key), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
-    values = written(rows.groupBy("fp").agg(first).withColumn("id", F.monotonically_increasing_id()), "values")
-    roots = written(similar_classes(values.select("id", "fp"), width, similarity, recall), "roots")
-    # sets of one fingerprint have its root; one set may have several fingerprints
-    held = rows.groupBy("sid", "fp").agg(F.min("key").alias("key"), F.min("n").alias("n"))
-    held = written(held.join(values.select("fp", "id"), "fp").join(roots, "id").select("sid", "key", "n", "root"), "sets")
-    sets = written(held.groupBy("sid").agg(F.min("root").alias("root"), F.min("key").alias("key"), F.min("n").alias("n")), "distinct-sets")
-    pairs = shinglejoin.pairs(plain.select("key", "text"), sets, told.where("hits IS NOT NULL").select("shingle", "hits"),
-                              lambda t: np.unique(shingle_hashes(t, words)), similarity)
-    root_of = sets.select("sid", "root")
-    links = (pairs.join(root_of.select(F.col("sid").alias("a"), F.col("root").alias("u")), "a")
-             .join(root_of.select(F.col("sid").alias("b"), F.col("root").alias("v")), "b").select("u", "v"))
-    links = links.union(held.select("sid", F.col("root").alias("u")).join(root_of.select("sid", F.col("root").alias("v")), "sid").select("u", "v"))
-    joined = components(links).select(F.col("u").alias("root"), F.col("root").alias("lowest"))
-    roots = roots.join(joined, "root", "left").select("id", F.coalesce("lowest", "root").alias("root"))
-    chosen = roots.join(values.select("id", "first"), "id").groupBy("root").agg(F.min("first").alias("first"))
-    chosen = written(chosen.select(F.col("first.key").alias("__key")), "chosen")
-    return keyed.dropDuplicates(["__key"]).join(chosen, "__key", "left_semi").drop("__key")
+    values = rows.groupBy("fp").agg(first)
+    named = classes(values, distance, blocks).join(values, "fp")
+    chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"), F.lit(True).alias("stays"))
+    told = rows.groupBy("key").count().join(chosen, "key", "left").where("stays IS NULL OR count > 1")
+    told = written(told.select(F.col("key").alias(name), F.coalesce("stays", F.lit(False)).alias(state)), "verdicts")
+    marked = docs.withColumn(name, key).join(told, name, "left")
+    several = marked.where(F.col(state)).dropDuplicates([name])
+    return marked.where(F.col(state).isNull()).select(columns).union(several.select(columns))
