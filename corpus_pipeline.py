@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vigilake.llm import fmindex, mixing, quality, shards, simhash
-from vigilake.llm.common import documents, exactly, table, written
+from vigilake.llm.common import documents, table, written
 
 
-NEAR = {"words": 5, "similarity": 0.8, "width": 8, "recall": 0.95}
+#: Shingle length and bit distance of the near-duplicate operator.
+NEAR = {"words": 3, "distance": 2}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +22,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of every class of linked fingerprints.
+    """The row with the smallest id of every class of the near-duplicate operator.
 
-    Five-word shingles, a similarity of 0.8 or more as the distance of 512 bits tells it; the
-    README has how well it does.
+    Three-word shingles, links at two or fewer of 64 bits. Rows without id come last; of rows equal
+    in id and text one stays; texts without words are one class; an empty table gives no rows.
+    Other columns stay as they are, whatever their names.
     """
     return simhash.without_near_duplicates(docs, **NEAR)
 
@@ -36,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows drawn so that sources, languages and topics come near their target shares of tokens."""
-    return mixing.mix(docs, keep=0.8, power=0.7).where("__drawn").select(*[exactly(c) for c in docs.columns])
+    return mixing.drawn_rows(docs, keep=0.8, power=0.7)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
