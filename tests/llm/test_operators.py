@@ -1,6 +1,7 @@
 """Operators against plain versions, on texts with nulls, blanks, ties, repeats, one very long text."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -271,12 +272,92 @@ def test_language_model(docs, empty):
 
 
 def test_language_model_sums_to_one():
-    v = maxent.Vocabulary([("a", 50, "x"), ("b", 30, "y"), ("", 20, "x")], 110, 8)
-    code, sizes, _, _ = v.encoded(["a b zz a"])
-    p = maxent.probabilities(np.zeros((maxent.ROWS, maxent.CLASSES), np.float32), v.prior, maxent.features(code, maxent.positions(sizes)))
-    used = sorted({maxent.TAIL, maxent.STOP, *v.klass.tolist()})
-    assert np.allclose(p.sum(1), 1, atol=1e-5) and len(used) == 4
-    assert np.isclose(sum(10 ** v.word_log[v.klass == k].sum() for k in set(v.klass.tolist())), len(set(v.klass.tolist())))
+    rng = np.random.default_rng(4)
+    words = [(f"w{n}", int(5000 / (n + 1)) + 1, "xyz"[n % 3]) for n in range(900)] + [("", 300, "x")]
+    v = maxent.Vocabulary(words, sum(c for _, c, _ in words) + 50, 1000)
+    model = maxent.Model(v, rng.integers(0, 4, (maxent.FEATURES << v.bits, maxent.FAN)) * (rng.random((maxent.FEATURES << v.bits, 1)) < 0.3))
+    # every leaf after the same two words
+    code = np.concatenate([[7, 8, x] for x in [*range(900), 900 + maxent.SUFFIXES + 1, 900]]).astype(np.int64)
+    logs = np.zeros(902)
+    for use, node, child, rows in maxent.steps(v, code, np.arange(2, len(code), 3)):
+        p = model.probabilities(v, node, rows)
+        assert np.allclose(p.sum(1), 1, atol=1e-4)
+        logs[use] += np.log(p[np.arange(len(p)), child])
+    assert abs(np.exp(logs).sum() - 1) < 1e-3 and len(v.node) > 2
+
+
+def test_language_model_equals_plain(spark):
+    rng = random.Random(12)
+    say = lambda: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 2) for _ in range(rng.randint(0, 30)))
+    rows = [(i, say(), rng.choice(["en", "de"])) for i in range(150)] + [(3, None, "en"), (None, "a b b", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {}
+    for parts in (1, 16):
+        got[parts] = sorted((r.doc_id or -1, r.n_tokens, round(r.score, 6)) for r in maxent.scored(frame.repartition(parts)).collect())
+    assert got[1] == got[16]
+    slice_of = [r.part for r in frame.selectExpr(f"pmod(xxhash64(doc_id, length(text)), {maxent.SLICES}) as part").collect()]
+    split = lambda t: (t or "").encode().split() + [b""]
+    train = [(r, p) for r, p in zip(rows, slice_of) if not (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2)]
+    count, group = Counter(), {}
+    for r, _ in train:
+        count.update((w, r[2] or "") for w in split(r[1]))
+    whole = Counter()
+    for (w, _), n in count.items():
+        whole[w] += n
+    for w in whole:
+        group[w] = max((n, g) for (x, g), n in count.items() if x == w)[1]
+    v = maxent.Vocabulary([(w.decode(), n, group[w]) for w, n in whole.items()], sum(whole.values()), len(whole))
+    n = len(v.code)
+
+    def path(words):
+        """(class, child, rows) of every step of every token."""
+        code = np.array([n + maxent.SUFFIXES] * 2 + [v.code.get(w, n + int.from_bytes(w[-3:], "little") * 40503 % 65521 % maxent.SUFFIXES) for w in words[:-1]]
+                        + [n + maxent.SUFFIXES + 1], np.int64)
+        for i in range(2, len(code)):
+            leaf = int(v.leaves(code[i:i + 1])[0])
+            for depth in range(len(v.node)):
+                if (node := int(v.node[depth, leaf])) >= 0:
+                    yield node, int(v.child[depth, leaf]), [int(r[0]) for r in v.rows(code, np.array([i]), np.array([node]))]
+
+    seen = {}
+    for r, p in train:
+        if p > 0:
+            for _, child, at in path(split(r[1])):
+                for x in at:
+                    seen.setdefault(x, Counter())[child] += 1
+    moved = {}
+
+    def softmax(node, at):
+        logits, left = [0.0] * maxent.FAN, 1.0
+        for x in at:
+            c = seen.get(x, Counter())
+            m = sum(c.values())
+            part = maxent.SCALE[x >> v.bits] * m / (m + maxent.HALF)
+            left -= part
+            for k in range(maxent.FAN):
+                logits[k] += part * math.log((c[k] + maxent.EXTRA) / (m + maxent.FAN * maxent.EXTRA)) + moved.get(x, {}).get(k, 0.0)
+        e = [math.exp(x + left * float(s)) for x, s in zip(logits, v.shares[node])]
+        return [x / sum(e) for x in e]
+
+    gradient, met = {}, Counter()
+    for r, p in train:
+        if p == 0:
+            for node, child, at in path(split(r[1])):
+                q = softmax(node, at)
+                for x in at:
+                    met[x] += 1
+                    for k in range(maxent.FAN):
+                        gradient.setdefault(x, Counter())[k] += (k == child) - q[k]
+    moved = {x: {k: maxent.STEP * g / (met[x] + maxent.DAMP) for k, g in c.items()} for x, c in gradient.items()}
+    assert moved
+    want = []
+    for r in rows:
+        words = split(r[1])
+        score = sum(math.log10(softmax(node, at)[child]) for node, child, at in path(words))
+        score -= sum(w not in whole for w in words) * math.log10(v.tail_total + v.tail_kinds + 1)
+        want.append((-1 if r[0] is None else r[0] or -1, len(words), score))
+    for (i, m, score), (j, k, plain) in zip(got[1], sorted(want, key=lambda x: (x[0], x[1], x[2]))):
+        assert (i, m) == (j, k) and abs(score - plain) < 1e-3 * max(1, abs(plain))
 
 
 def test_held_out_text_gains(spark):
