@@ -91,6 +91,13 @@ def test_csv_with_line_breaks_in_quotes(spark, tmp_path):
     assert got == [("1.1.1.1", "two\nlines"), ("1.1.1.2", "one")]
 
 
+def test_csv_rows_too_wide_to_split_keep_their_text(spark, tmp_path):
+    wide = "9.9.9.9" + "," * 30_000 + "x"
+    (tmp_path / "w.csv").write_text(f"ip,msg\n1.1.1.1,a\n{wide}\n{',' * 30_000}\n1.1.1.2,b\n")
+    got = [(r.src_ip, r.message, r.raw) for r in read_csv_events(spark, str(tmp_path)).orderBy("seq").collect()]
+    assert got == [("1.1.1.1", "a", "1.1.1.1,a"), (None, None, wide), ("1.1.1.2", "b", "1.1.1.2,b")]
+
+
 def test_quoted_line_breaks_over_many_splits(spark, tmp_path):
     import csv
     import random

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from vigilake.operators.rules import Rule, rule_dimension, rules
@@ -88,7 +88,17 @@ def key_profile(events: DataFrame, chosen: list[Rule]) -> DataFrame:
     if any(r.shape == "distinct" for r in chosen):
         anywhere = F.when(F.col("kind") == "src_ip", F.col("seq"))
         measures += [F.min(anywhere).alias("first_any"), F.min_by("raw", anywhere).alias("raw_any")]
-    return rows.groupBy("scope", "log_type", "kind", "key").agg(*measures)
+    return hashed(rows.groupBy("scope", "log_type", "kind", "key"), measures)
+
+
+def hashed(groups: GroupedData, measures: list[Column]) -> DataFrame:
+    """The measures by a hash aggregate of objects.
+
+    Texts among the measures would make Spark sort all rows by key, with their texts, before it
+    combines them. One collecting measure (of nothing, and dropped again) has it keep the groups in
+    a hash table of objects instead; a task with very many keys still falls back to sorting.
+    """
+    return groups.agg(*measures, F.collect_list(F.lit(None).cast("int")).alias("_none")).drop("_none")
 
 
 def _salts(df: DataFrame) -> int:
@@ -242,13 +252,13 @@ def success_after_failures(events: DataFrame) -> DataFrame:
     """
     known = events.filter("src_ip <> ''")
     failed, accepted = flag("is_failed_auth"), flag("is_accepted_auth")
-    per_address = known.filter("is_failed_auth or is_accepted_auth").groupBy("scope", "log_type", "src_ip").agg(
+    per_address = hashed(known.filter("is_failed_auth or is_accepted_auth").groupBy("scope", "log_type", "src_ip"), [
         F.count_if(failed).alias("failures"),
         F.min(F.when(failed, F.col("seq"))).alias("first_failure"),
         F.min(F.when(accepted, F.col("seq"))).alias("first_accept"),
         F.max(F.when(accepted, F.col("seq"))).alias("last_accept"),
         F.max_by("raw", F.when(accepted, F.col("seq"))).alias("sample"),
-    ).filter("last_accept >= first_failure")
+    ]).filter("last_accept >= first_failure")
     open_ = per_address.filter("first_accept < first_failure").select("scope", "log_type", "src_ip", "first_failure")
     later = (
         known.filter("is_accepted_auth").select("scope", "log_type", "src_ip", "seq")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vigilake.operators.detect import detect_all
 from vigilake.operators.ranking import filter_severity
@@ -14,6 +13,7 @@ from vigilake.session import configure, shared_path, written
 from vigilake.sources.auth import auth_events
 from vigilake.sources.delimited import read_csv_events
 from vigilake.sources.formats import route_files
+from vigilake.sources.heads import head_scan
 from vigilake.sources.json_docs import read_json_events
 from vigilake.sources.lines import as_paths, scan_text
 from vigilake.sources.web import web_events
@@ -54,16 +54,18 @@ def read_windows_events(spark: SparkSession, paths) -> DataFrame:
 
 
 def _files_by(files: DataFrame, *keys: str) -> dict[tuple, list[str]]:
-    """File names per group. Names only: the driver lists them for the scan anyway."""
-    rows = files.groupBy(*keys).agg(F.collect_list("source_file").alias("names")).collect()
-    return {tuple(r[k] for k in keys): as_paths(r["names"]) for r in rows}
+    """File names per group: names only, which the driver lists for every scan anyway."""
+    names: dict[tuple, list[str]] = {}
+    for r in files.select(*keys, "source_file").toLocalIterator():
+        names.setdefault(tuple(r[k] for k in keys), []).append(r["source_file"])
+    return {k: as_paths(sorted(v)) for k, v in names.items()}
 
 
 def load_events(spark: SparkSession, paths, default_year: int | None = None) -> DataFrame:
     """Events of a whole directory of mixed formats: one routing job, then one reader per
     format over that format's files."""
     configure(spark)
-    groups = _files_by(route_files(scan_text(spark, paths, head=True)), "log_type")
+    groups = _files_by(route_files(head_scan(spark, paths)), "log_type")
     parts = [events_for(spark, t, names, default_year) for (t,), names in sorted(groups.items())]
     # a directory without a line has no events
     return reduce(DataFrame.unionByName, parts) if parts else events_for(spark, "auth", paths, default_year)

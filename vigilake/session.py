@@ -16,6 +16,9 @@ def configure(spark: SparkSession) -> SparkSession:
     # wide event projections compile to methods the JVM would not optimise (its limit is
     # 8000 bytes of bytecode); past it Spark falls back to many small methods
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # keys that a task combines in a hash table of objects before it sorts; a key holds a count, a
+    # number and at most one record text per rule
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "10000")
     return spark
 
 

@@ -19,18 +19,22 @@ from vigilake.session import written
 from vigilake.sources.lines import scan_text, sequence
 
 BOM = "﻿"
+#: A row without a filled cell that is longer than this was too wide to split.
+UNSPLIT = 20_000
 
 
 def _split(rows: DataFrame, source: str, target: str, width: int) -> DataFrame:
     """Record text -> array of ``width`` cells, split at the row's own delimiter; short
-    records are padded with empty cells. Each record is parsed once."""
+    records are padded with empty cells. Each record is parsed once; one with more delimiters than
+    the parser takes is left unsplit, all its cells empty."""
     schema = ", ".join(f"c{i} string" for i in range(width))
+    most = max(width * 4, 20480)
     options = {
         "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1",
-        "maxColumns": str(max(width * 4, 20480)),
+        "maxColumns": str(most),
     }
     parsed = F.coalesce(*[
-        F.when(F.col("delimiter") == d, F.from_csv(F.col(source), F.lit(schema), {"sep": d, **options}))
+        F.when((F.col("delimiter") == d) & (text.occurrences(F.col(source), d) < most), F.from_csv(F.col(source), F.lit(schema), {"sep": d, **options}))
         for d in fixed.DELIMITERS
     ])
     cells = F.array(*[F.coalesce(F.col("_row")[f"c{i}"], F.lit("")) for i in range(width)])
@@ -86,9 +90,10 @@ def csv_events(lines: DataFrame, log_type: str = "csv", heads: DataFrame | None
 
 
 def _named(rows: DataFrame, log_type: str) -> DataFrame:
-    """Rows with cells and their file's columns -> events; blank rows are dropped and
-    cells beyond the header are cut."""
-    filled = rows.filter(F.exists("cells", lambda c: text.strip(c) != ""))
+    """Rows with cells and their file's columns -> events; rows of blanks and delimiters alone are
+    dropped and cells beyond the header are cut. An unsplit row keeps its text."""
+    unsplit = F.length("value") > UNSPLIT
+    filled = rows.filter(F.exists("cells", lambda c: text.strip(c) != "") | (unsplit & F.col("value").rlike(r"[^\s,;|\"]")))
     entries = F.arrays_zip(
         F.col("keys").alias("key"), F.col("names").alias("name"),
         F.slice("cells", F.lit(1), F.size("keys")).alias("value"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from vigilake import fixed
 from vigilake.functions import text
 from vigilake.functions.flatten import json_entries
 from vigilake.functions.normalize import normalize
+from vigilake.sources.heads import head_scan
 from vigilake.sources.lines import as_paths, scan_text, spaced
 
 BOM = "﻿"
@@ -62,10 +65,14 @@ def _events(rows: DataFrame, members: Column, log_type: str) -> DataFrame:
     return normalize(records.withColumn("seq", F.col("seq") + F.col("at")), log_type)
 
 
+def _cut_line(value: Column) -> Column:
+    """A line without blanks around it, byte order mark and trailing commas."""
+    return text.strip(F.rtrim(text.strip(F.ltrim(value, F.lit(BOM))), F.lit(",")))
+
+
 def json_line_events(lines: DataFrame, log_type: str = "json") -> DataFrame:
     """Events of JSON Lines; trailing commas are cut, lines that do not parse skipped."""
-    value = F.rtrim(text.strip(F.ltrim("value", F.lit(BOM))), F.lit(","))
-    cut = lines.withColumn("value", text.strip(value)).filter("value <> ''")
+    cut = lines.withColumn("value", _cut_line(F.col("value"))).filter("value <> ''")
     return _events(cut, line_members(F.col("value")), log_type)
 
 
@@ -75,6 +82,18 @@ def json_document_events(documents: DataFrame, log_type: str = "json") -> DataFr
     return _events(documents.withColumn("value", value), document_members(F.col("value")), log_type)
 
 
+def json_whole_events(documents: DataFrame, log_type: str = "json") -> DataFrame:
+    """Events of whole files, one per row, each read and parsed once: members of the document, or
+    those of its lines where it does not parse as a whole."""
+    value = text.strip(F.ltrim(text.strip(F.col("value")), F.lit(BOM)))
+    rows = documents.withColumn("_whole", text.once(document_members(value)))
+    lines = F.when(F.col("_whole").isNull(), F.split("value", "\r\n|\r|\n")).otherwise(F.array(F.lit("")))
+    pieces = rows.select("source_file", "_whole", F.posexplode(lines).alias("_line", "_said"))
+    members = F.coalesce("_whole", line_members(_cut_line(F.col("_said"))))
+    placed = pieces.withColumn("seq", F.col("_line").cast("bigint") * (1 << 20))
+    return _events(placed, members, log_type)
+
+
 def json_layout(lines: DataFrame) -> DataFrame:
     """``(source_file, layout)``: ``lines`` by name (``.jsonl``, ``.ndjson``) or if the first
     non-blank line parses by itself and more follow (such a file cannot be one document),
@@ -102,22 +121,15 @@ def read_json_events(spark: SparkSession, paths, layout: str | None = None, log_
     )
     if layout == "document":
         return json_document_events(documents, log_type)
-    found = json_layout(scan_text(spark, paths, head=True)).groupBy("layout").agg(F.collect_list("source_file")).collect()
-    files = dict(map(tuple, found))
+    files: dict[str, list[str]] = {}
+    for r in json_layout(head_scan(spark, paths)).toLocalIterator():
+        files.setdefault(r["layout"], []).append(r["source_file"])
     parts = []
-    if files.get("lines"):
-        parts.append(json_line_events(spaced(scan_text(spark, as_paths(files["lines"]))), log_type))
-    if files.get("document"):
-        whole = spark.read.text(as_paths(files["document"]), wholetext=True).select(
+    if "lines" in files:
+        parts.append(json_line_events(spaced(scan_text(spark, as_paths(sorted(files["lines"])))), log_type))
+    if "document" in files:
+        whole = spark.read.text(as_paths(sorted(files["document"])), wholetext=True).select(
             F.col("_metadata.file_path").alias("source_file"), F.lit(0).cast("bigint").alias("seq"), "value"
         )
-        good = parses(text.strip(F.ltrim(text.strip(F.col("value")), F.lit(BOM))))
-        parts.append(json_document_events(whole.filter(good), log_type))
-        broken = whole.filter(~good).select("source_file", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("at", "value"))
-        parts.append(json_line_events(spaced(broken.select("source_file", F.col("at").cast("bigint").alias("seq"), "value")), log_type))
-    if not parts:
-        return json_line_events(scan_text(spark, paths), log_type)
-    events = parts[0]
-    for p in parts[1:]:
-        events = events.unionByName(p)
-    return events
+        parts.append(json_whole_events(whole, log_type))
+    return reduce(DataFrame.unionByName, parts) if parts else json_line_events(scan_text(spark, paths), log_type)

@@ -11,6 +11,7 @@ from vigilake.functions import text
 from vigilake.functions.flatten import xml_children, xml_entries
 from vigilake.functions.normalize import normalize
 from vigilake.sources.formats import head_lines
+from vigilake.sources.heads import head_scan
 from vigilake.sources.lines import as_paths, scan_text
 
 EVENT_END = "</Event>"
@@ -70,9 +71,11 @@ def read_xml_events(spark: SparkSession, paths, kind: str | None = None, log_typ
             F.col("_metadata.file_path").alias("source_file"), F.lit(0).cast("bigint").alias("seq"), "value"
         )
         return xml_document_events(documents, log_type)
-    kinds = xml_kinds(head_lines(scan_text(spark, paths, head=True)))
+    kinds = xml_kinds(head_lines(head_scan(spark, paths)))
     # one reader per end tag; documents are read alike whatever their tags
     tag = F.when(F.col("kind") == "event", F.col("tag")).otherwise("")
-    found = kinds.groupBy("kind", tag.alias("tag")).agg(F.collect_list("source_file").alias("names")).collect()
-    parts = [read_xml_events(spark, as_paths(r["names"]), r["kind"], log_type, r["tag"]) for r in sorted(found)]
+    names: dict[tuple, list[str]] = {}
+    for r in kinds.select("kind", tag.alias("tag"), "source_file").toLocalIterator():
+        names.setdefault((r["kind"], r["tag"]), []).append(r["source_file"])
+    parts = [read_xml_events(spark, as_paths(sorted(mine)), kind, log_type, tag) for (kind, tag), mine in sorted(names.items())]
     return reduce(DataFrame.unionByName, parts) if parts else read_xml_events(spark, paths, "event", log_type)

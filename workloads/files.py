@@ -86,15 +86,20 @@ class QuotedLogs(FileLogs):
         return self.named(read_csv_events(self.spark, path, multiline=True))
 
 
-def directory_counts(logs: Logs) -> DataFrame:
+def directory_counts(logs: Logs, more: tuple[str, ...] = ()) -> DataFrame:
     """Events per file and type of one directory of many formats, known by content alone.
 
-    Without the firewall files: their uneven rows are no CSV by content, only by name.
+    Without the firewall files: their uneven rows are no CSV by content, only by name. ``more`` adds views.
     """
     files = FileLogs(logs.spark, logs.sf_dir)
     path = shared_path(logs.spark, "files-all")
-    for view in ("auth_lines", "web_lines", "win_lines", "cloud_lines", "winevent_records"):
+    for view in ("auth_lines", "web_lines", "win_lines", "cloud_lines", "winevent_records", *more):
         files.folder(view, path)
     files.folder("win_blocks", path, blank_line=True)
     events = files.named(load_events(logs.spark, path, YEAR))
     return events.groupBy("source_file", "log_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def directory_of_all(logs: Logs) -> DataFrame:
+    """The same with every format there is: CSV, whole JSON documents and plain XML elements too."""
+    return directory_counts(logs, ("firewall_even", "cloud_day_documents", "xml_records"))

@@ -22,7 +22,7 @@ from vigilake.sources.lines import clean_lines
 from vigilake.sources.windows import win_layout
 from vigilake.streaming import alerts
 from workloads import oracle, streams, tables
-from workloads.files import FileLogs, QuotedLogs, directory_counts
+from workloads.files import FileLogs, QuotedLogs, directory_counts, directory_of_all
 from workloads.logs import Logs
 from workloads.oracle import keyed, sql, total
 
@@ -668,6 +668,10 @@ register("src13_directory_files", directory_counts, "\nUNION ALL ".join(
     f"SELECT source_file, '{kind}' AS log_type, count(*) AS n FROM ({SQL[name]}) AS t GROUP BY source_file"
     for name, kind in (("src2_auth_events", "auth"), ("src3_web_events", "apache"), ("src4_win_tabular", "windows"), ("src5_win_blocks", "windows"),
                        ("src8_json_lines", "json"), ("src10_windows_event_xml", "xml"))))
+register("src12_directory_all_formats", directory_of_all, SQL["src13_directory_files"] + f"""
+UNION ALL SELECT source_file, 'xml' AS log_type, count(*) AS n FROM ({SQL['src9_xml_events']}) AS t GROUP BY source_file
+UNION ALL SELECT source_file, 'csv' AS log_type, count(*) AS n FROM ({sql('csv', "SELECT scope AS source_file FROM csv WHERE l_linenumber > 3")}) AS t GROUP BY source_file
+UNION ALL SELECT 'day-' || strftime(ts, '%Y%m%d') || '.json' AS source_file, 'json' AS log_type, count(*) AS n FROM events GROUP BY 1""")
 
 # --- streams in several micro-batches ------------------------------------------------
 for _name, _run in streams.registered(QUERIES, SQL)[0].items():

@@ -200,6 +200,19 @@ def cloud_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cloud_day_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One whole document on one line per day: a wrapper object with the day's records in order."""
+    rows = _events(spark, sf_dir).selectExpr("date_format(ts, 'yyyyMMdd') as day", "event_id", f"{CLOUD_RECORD} as record")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "record"))), lambda r: r["record"])
+    return rows.groupBy("day").agg(F.concat(F.lit('{"Records": ['), F.array_join(said, ", "), F.lit("]}")).alias("value")).selectExpr(
+        "concat('day-', day, '.json') as source_file", "cast(0 as bigint) as seq", "value")
+
+
+def firewall_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The firewall rows that have as many cells as their header."""
+    return firewall_lines(spark, sf_dir).where("seq = -1 or value rlike ',n[4-9]$'")
+
+
 def winevent_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Windows event element per order; one file per five customers."""
     return _orders(spark, sf_dir).selectExpr(
