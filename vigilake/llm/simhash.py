@@ -308,6 +308,7 @@ def without_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2,
     chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"), F.lit(True).alias("stays"))
     told = rows.groupBy("key").count().join(chosen, "key", "left").where("stays IS NULL OR count > 1")
     told = written(told.select(F.col("key").alias(name), F.coalesce("stays", F.lit(False)).alias(state)), "verdicts")
-    marked = docs.withColumn(name, key).join(told, name, "left")
+    # verdicts grow with the rows: they are joined by a shuffle whatever their number, never broadcast
+    marked = docs.withColumn(name, key).join(told.hint("merge"), name, "left")
     several = marked.where(F.col(state)).dropDuplicates([name])
     return marked.where(F.col(state).isNull()).select(columns).union(several.select(columns))
