@@ -129,7 +129,8 @@ def canonical(records: DataFrame, id_col: str = "conv_id", json_col: str = "reco
 
     Turns are numbered from 0 in their record; a record that is itself one turn has the number
     in ``turn_col``. A record that is null, not JSON, or of no known layout gives one row with null turn,
-    role, text and layout, so that nothing goes unseen.
+    role, text and layout, so that nothing goes unseen. Repeated records and equal or null ids give
+    their own rows each; other columns are ignored; an empty table gives no rows.
     """
     known, paths = catalog(layouts)
 

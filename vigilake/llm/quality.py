@@ -230,7 +230,9 @@ def judged(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", te
 def kept_documents(docs: DataFrame, labels: DataFrame | None, **options) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any other columns) that ``judged`` keeps.
 
-    The verdict is computed beside each row, so that no join has to tell repeated rows apart.
+    The verdict is computed beside each row, so that no join has to tell repeated rows apart. Null and
+    empty texts fail the base rules; null and equal ids are rows like any other; without labels the
+    forest rejects nothing; an empty table gives no rows.
     """
     forest, cut = trained(written(statistics(docs), "rule-stats"), labels, **options)
 

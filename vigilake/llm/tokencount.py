@@ -3,7 +3,9 @@
 Texts are cut into pre-tokens at places no piece of the vocabulary spans. The distinct
 pre-tokens of a batch become one flat array of symbol ids with sequence numbers. In every
 round each sequence merges its lowest-rank pair, all sequences at once, until no sequence
-has a pair left; the surviving symbols are the tokens. Counts are remembered per task.
+has a pair left; the surviving symbols are the tokens. A fragment of over 2,048 characters is
+merged pair by pair with a queue instead, with the same result: long runs of tied pairs would take
+a round for every merge. Counts are remembered per task.
 """
 
 from __future__ import annotations
@@ -172,8 +174,9 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     """doc_id, n_bytes, n_tokens, over_limit per row of ``docs``.
 
     ``model`` is the path of a sentencepiece BPE model with byte fallback. Null and empty
-    texts have no bytes and no tokens; ids may be null or repeat; an empty table gives no
-    rows. A task remembers up to ``remembered`` short pre-tokens and then starts afresh.
+    texts have no bytes and no tokens; ids may be null or repeat, and repeated rows count each; other
+    columns are ignored; an empty table gives no rows. Very long texts are taken whole. A task
+    remembers up to ``remembered`` pre-tokens, of any length, and then starts afresh.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         merges, seen = Merges(model), {}
