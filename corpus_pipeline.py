@@ -17,7 +17,12 @@ NEAR = {"words": 3, "distance": 2}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the rules and the calibrated forest keep."""
+    """Rows that the rules and the calibrated forest keep.
+
+    Null, empty and very short texts fail the base rules. Rows without a label are judged like any
+    other; without labels the forest rejects nothing. Repeated rows and equal ids are judged one by
+    one and alike; an empty table gives no rows. Other columns stay as they are, whatever their names.
+    """
     return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -32,17 +37,32 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that benchmark items share."""
+    """Texts without the passages that benchmark items share; a text without a word left goes.
+
+    Null and empty texts have no words and stay. Spans are cut from whole texts of any length;
+    repeated rows are cut alike; an empty benchmark changes nothing and an empty table gives no rows.
+    ``n_chars`` is counted anew; other columns stay as they are, whatever their names.
+    """
     return fmindex.without_spans(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows drawn so that sources, languages and topics come near their target shares of tokens."""
+    """Rows drawn so that the tokens of sources, languages and topics meet their targets, 0.8 of all.
+
+    Null sources and languages count as empty ones. Texts without words carry no tokens and are not
+    drawn. A draw follows from the id, so equal ids and repeated rows in one cell fall alike; an
+    empty table gives no rows. Columns stay as they are, whatever their names.
+    """
     return mixing.drawn_rows(docs, keep=0.8, power=0.7)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Eight contiguous shards of about equal bytes."""
+    """Eight contiguous shards of about equal bytes, in the order of the ids (nulls first).
+
+    Null and empty texts have size 1; repeated rows and equal ids are rows of their own and get
+    slots of their own; a text longer than a shard's share leaves other shards empty; an empty
+    table gives no rows. Input columns are carried, but for those named like a result column.
+    """
     return shards.shards(docs, carry=tuple(docs.columns))
 
 
