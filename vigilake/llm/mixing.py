@@ -2,8 +2,8 @@
 
 Token counts per (source, language, topic) cell are raked until what is expected to be drawn
 meets the target of every source, language and topic; documents are then drawn with the
-probability of their cell. No probability passes 1: cells that would are held at all their
-tokens, and the others of the key are scaled to what remains of its target. All steps are
+probability of their cell. No probability passes 1: a step solves, for each key, the factor at
+which its cells, full ones held at all their tokens, add up to its target. All steps are
 DataFrame operations over one small table of cells, written every few sweeps.
 """
 
@@ -101,30 +101,17 @@ def given(cells: DataFrame, shares: dict[str, DataFrame], keep: float) -> dict[s
     return {d: s.crossJoin(F.broadcast(budget)).select(d, (F.col("share") * F.col("budget")).alias("target")) for d, s in sums.items()}
 
 
-def _step(cells: DataFrame, d: str) -> DataFrame:
-    """Scales the open cells of every key of a dimension to what its full ones leave of the target; all of
-    them where those pass it. Both sums are held by one window per key."""
-    key = Window.partitionBy(d)
-    full = F.col("w") >= F.col("tokens")
-    held = F.sum(F.when(full, F.col("tokens").cast("double")).otherwise(F.lit(0.0))).over(key)
-    open_ = F.sum(F.when(full, F.lit(0.0)).otherwise(F.col("w"))).over(key)
-    sums = cells.withColumns({"_held": held, "_open": open_})
-    target = F.col(f"t_{d}")
-    factor = F.when((F.col("_open") > 0) & (target > F.col("_held")), (target - F.col("_held")) / F.col("_open")).otherwise(
-        target / (F.col("_held") + F.col("_open")))
-    return sums.withColumn("w", F.col("w") * factor).drop("_held", "_open")
-
-
 #: Up to so many cells a sweep needs no shuffle: one task holds them.
 ONE_TASK = 100_000
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 40, block: int = 8) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 20, block: int = 4) -> DataFrame:
     """cells with ``drawn`` (tokens expected to be drawn, at most all) and ``off``, the largest
     relative miss among the cell's three targets.
 
     A sweep takes sources, then languages, then topics. Cells of a key without a target are left out.
     """
+    ties = list(DIMENSIONS)
     state = cells.withColumn("w", F.col("tokens").cast("double"))
     for d in DIMENSIONS:
         state = state.join(targets[d].select(d, F.col("target").alias(f"t_{d}")), d)
@@ -133,7 +120,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 40, bloc
     state = state.coalesce(1) if few else state
     for sweep in range(sweeps):
         for d in DIMENSIONS:
-            state = _step(state, d)
+            state = _scaled(state, [d], "w", F.col(f"t_{d}"), ties)
         if sweep % block == block - 1:
             state = written(state, "cells")
             state = state.coalesce(1) if few else state
@@ -143,7 +130,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 40, bloc
 
 
 def rated(rows: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = 0.5, power: float = 0.5,
-          seed: str = "mix", id_col: str = "doc_id", sweeps: int = 40, prefix: str = "__") -> DataFrame:
+          seed: str = "mix", id_col: str = "doc_id", sweeps: int = 20, prefix: str = "__") -> DataFrame:
     """Measured rows with rate, off and drawn after ``prefix``; see ``mix``."""
     keys = [f"{prefix}{d}" for d in DIMENSIONS]
     cells = written(rows.groupBy(keys).agg(F.sum(f"{prefix}tokens").alias("tokens")).where("tokens > 0")
@@ -158,7 +145,7 @@ def rated(rows: DataFrame, targets: dict[str, DataFrame] | None = None, keep: fl
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = 0.5, power: float = 0.5,
-        seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", sweeps: int = 40, prefix: str = "__") -> DataFrame:
+        seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", sweeps: int = 20, prefix: str = "__") -> DataFrame:
     """docs with source, lang, topic, tokens, rate, off and drawn, each after ``prefix``.
 
     ``keep`` is the share of all tokens to aim for. ``targets``: per dimension (source, lang, topic) a

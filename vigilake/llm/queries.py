@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import chat, crosstoken, fmindex, linededup, lloyd, maxent, mixing, quality, shards, simhash, suffixes, tokencount, windows
 from .common import documents, table, written
 
-MIX = {"keep": 0.5, "power": 0.5, "seed": "mix", "sweeps": 40}
+MIX = {"keep": 0.5, "power": 0.5, "seed": "mix", "sweeps": 20}
 TOKEN_MODEL = "piece_bpe_32k.model"
 ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
