@@ -19,6 +19,14 @@ def made(spark, names, each):
     return spark.createDataFrame(rows, "source_file string, seq bigint, value string").repartition(3)
 
 
+def test_small_files_are_written_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(views, "firewall_lines", lambda *_: made(spark, [f"f{n}" for n in range(40)], 3), raising=True)
+    path = FileLogs(spark, "none").folder("firewall_lines")
+    found = glob.glob(f"{path}/source_file=*/part-*.txt")
+    assert len(found) == 40 and len({re.search(r"part-(\d+)", f)[1] for f in found}) > 1
+    assert all(open(f).read() == "Src-IP,action\n10.0.0.1,deny\n10.0.0.2,deny\n" for f in found)
+
+
 @pytest.mark.parametrize("rows_per_file", [1_000_000, 7])
 def test_slices_of_several_files_are_one_batch_each(spark, monkeypatch, rows_per_file):
     monkeypatch.setattr(streams, "SLICE_FILE", rows_per_file, raising=False)
