@@ -27,6 +27,14 @@ def test_small_files_are_written_by_several_tasks(spark, monkeypatch):
     assert all(open(f).read() == "Src-IP,action\n10.0.0.1,deny\n10.0.0.2,deny\n" for f in found)
 
 
+def test_names_are_taken_in_in_a_bounded_number_of_batches(spark, monkeypatch):
+    monkeypatch.setattr(views, "firewall_lines", lambda *_: made(spark, [f"f{n}" for n in range(12)], 2), raising=True)
+    monkeypatch.setattr(streams, "BATCHES", 2, raising=False)
+    events = streams.IngestedLogs(spark, "none").csv
+    assert events.select("batch").distinct().count() == 2
+    assert sorted(r.source_file for r in events.collect()) == sorted(f"f{n}.csv" for n in range(12))
+
+
 @pytest.mark.parametrize("rows_per_file", [1_000_000, 7])
 def test_slices_of_several_files_are_one_batch_each(spark, monkeypatch, rows_per_file):
     monkeypatch.setattr(streams, "SLICE_FILE", rows_per_file, raising=False)
