@@ -7,12 +7,13 @@ hashed features of the context together with its class: the last word, the last
 choice, the word before the last alone (a skip). Its logits are the class's own log shares, and a row of weights per
 feature; a row's confidence says how far it may replace the shares.
 
-Training reads disjoint slices of the training rows, dealt by a hash of the row and not by task.
-At the shares themselves the gradient of a row is what was counted after it less what was
-expected, so the first update is solved from whole-number counts, which Spark sums by row. In the
-second slice every token's softmax is computed with these weights, and the gradients of the whole
-slice, summed by row, move them once more. Words too rare for the bounded table of frequent words
-share one leaf; their counts reach the documents by a join.
+Training reads all training rows twice, or disjoint slices of them, dealt by a hash of the row and not
+by task. At the shares themselves the gradient of a row is what was
+counted after it less what was expected, so the first update is solved from whole-number counts,
+which Spark sums by row. Then every token's softmax is computed with these weights, once for equal
+contexts of a piece of text, and the gradients, summed by row, move them once more.
+Words too rare for the bounded table of frequent words share one leaf; their counts reach the
+documents by a join.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ FEATURES = 3  # tables; the third serves the first choice alone
 #: How far the rows of each feature may replace the shares, how many tokens make half of that, and
 #: what every child has beside its count.
 SCALE, HALF, EXTRA = (0.45, 0.3, 0.15), 4.0, 0.05
-#: One row of so many goes into the second slice; step of its update, and what damps rows seldom met.
+#: Without ``whole`` one row of so many goes into the second slice; step of its update, and what damps rows seldom met.
 SLICES, STEP, DAMP = 10, 1.0, 4.0
 NEVER = -1e4
 #: Rows of the tables that are worked on at a time.
@@ -250,65 +251,84 @@ def observed(docs: DataFrame, vocabulary) -> np.ndarray:
     return total
 
 
-def gradients(docs: DataFrame, vocabulary, model) -> tuple[np.ndarray, np.ndarray]:
-    """Per row, the sum of what was met less what the model expected, and the number of tokens."""
+def contexts(v: Vocabulary, code: np.ndarray, at: np.ndarray, size: int = 1 << 14) -> Iterator[tuple]:
+    """Classes, weight rows and numbers of the distinct contexts of all softmaxes, a bounded number at a time.
+    What a model expects depends on the two words before and the class alone."""
+    kinds = len(v.code) + SUFFIXES + 2
+    leaf = v.leaves(code[at])
+    for depth in range(len(v.node)):
+        node = v.node[depth, leaf]
+        use = np.flatnonzero(node >= 0)
+        if not len(use):
+            break
+        before = at[use]
+        key, first, times = np.unique((node[use].astype(np.int64) * kinds + code[before - 1]) * kinds + code[before - 2],
+                                      return_index=True, return_counts=True)
+        for begin in range(0, len(key), size):
+            some = first[begin:begin + size]
+            yield node[use[some]], v.rows(code, before[some], node[use[some]]), times[begin:begin + size]
+
+
+def expected(docs: DataFrame, vocabulary, model) -> np.ndarray:
+    """Per row, the sum of what the model expects after each token of the texts."""
     names = [f"g{k}" for k in range(FAN)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, m = vocabulary.value, model.value
         total = np.zeros((FEATURES << v.bits, FAN))
-        seen = np.zeros(FEATURES << v.bits, np.int64)
         for batch in batches:
             texts = list(batch["text"])
             for a, b in pieces(texts):
                 code, sizes, _, _ = v.encoded(texts[a:b])
-                for _, node, child, rows in steps(v, code, positions(sizes)):
-                    g = -m.probabilities(v, node, rows).astype(np.float64)
-                    g[np.arange(len(g)), child] += 1
+                for node, rows, times in contexts(v, code, positions(sizes)):
+                    p = m.probabilities(v, node, rows).astype(np.float64) * times[:, None]
                     for r in rows:
                         order = np.argsort(r, kind="stable")
                         start = np.flatnonzero(np.diff(r[order], prepend=-1))
-                        row = r[order][start]
-                        total[row] += np.add.reduceat(g[order], start, axis=0)
-                        seen[row] += np.diff(start, append=len(order))
-        touched = np.flatnonzero(seen)
+                        total[r[order[start]]] += np.add.reduceat(p[order], start, axis=0)
+        touched = np.flatnonzero(total.any(1))
         for begin in range(0, len(touched), 50_000):
             row = touched[begin:begin + 50_000]
             out = pd.DataFrame(total[row], columns=names)
             out.insert(0, "row", row.astype(np.int32))
-            out.insert(1, "n", seen[row])
             yield out
 
-    found = docs.mapInPandas(run, "row int, n long, " + ", ".join(f"{n} double" for n in names))
-    sums = found.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names])
-    total, seen = np.zeros((FEATURES << vocabulary.value.bits, FAN)), np.zeros(FEATURES << vocabulary.value.bits)
+    found = docs.mapInPandas(run, "row int, " + ", ".join(f"{n} double" for n in names))
+    sums = found.groupBy("row").agg(*[F.sum(n).alias(n) for n in names])
+    total = np.zeros((FEATURES << vocabulary.value.bits, FAN))
     for batch in sums.toArrow().to_batches():
-        at = batch.column("row").to_numpy()
-        total[at], seen[at] = np.stack([batch.column(n).to_numpy() for n in names], axis=1), batch.column("n").to_numpy()
-    return total, seen
+        total[batch.column("row").to_numpy()] = np.stack([batch.column(n).to_numpy() for n in names], axis=1)
+    return total
 
 
-def trained(docs: DataFrame, vocabulary) -> Model:
-    """Weights after both slices of the training rows (columns text and part). The driver holds the tables,
-    which are bounded by the vocabulary, not by the text."""
-    model = Model(vocabulary.value, observed(docs.where("part > 0").select("text"), vocabulary))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    total, seen = gradients(docs.where("part = 0").select("text"), vocabulary, shared)
+def trained(first: DataFrame, second: DataFrame, vocabulary) -> Model:
+    """Weights solved from the counts of the first rows (column text) and moved by the gradients of the
+    second, which may be the same. The driver holds the tables, which are bounded by the vocabulary,
+    not by the text."""
+    counts = observed(first, vocabulary)
+    model = Model(vocabulary.value, counts)
+    if second is not first:
+        counts = observed(second, vocabulary)
+    shared = first.sparkSession.sparkContext.broadcast(model)
+    total = expected(second, vocabulary, shared)
     # rounded, so that the order in which Spark adds cannot show
     for begin in range(0, len(total), BLOCK):
         at = slice(begin, begin + BLOCK)
-        model.weights[at] = np.round(model.weights[at] + STEP * total[at] / (seen[at] + DAMP)[:, None], 6)
+        seen = counts[at].sum(1, keepdims=True)
+        model.weights[at] = np.round(model.weights[at] + STEP * (counts[at] - total[at]) / (seen + DAMP), 6)
     return model
 
 
-def scored(docs: DataFrame, group_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, group_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
+           whole: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row of ``docs``.
 
     A row is held out from training if crc32 of its id as text leaves 2 modulo 7; a null id
     is never held out. Null and empty texts are one end token. Repeated rows count as often
     as they occur and score alike, and scores do not depend on how the rows are partitioned.
     ``group_col`` only shapes the classes; where the column is missing or null there is one group. Other columns are ignored. With no training rows
-    all words are unknown; an empty table gives no rows.
+    all words are unknown; an empty table gives no rows. ``whole`` learns counts and gradients from all
+    training rows each; otherwise each row serves one of them, which is cheaper.
     """
     spark: SparkSession = docs.sparkSession
     group = exactly(group_col).cast("string") if group_col in docs.columns else F.lit(None).cast("string")
@@ -321,8 +341,11 @@ def scored(docs: DataFrame, group_col: str = "lang", id_col: str = "doc_id", tex
     # each holds SHARE of all tokens, so there are at most 1 / SHARE of them
     frequent = [(r.word, r.c, r.grp) for r in words.where((F.col("c") >= total * SHARE) | (F.col("word") == END)).collect()]
     vocabulary = spark.sparkContext.broadcast(Vocabulary(frequent, total, kinds))
-    slices = train.withColumn("part", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(SLICES)))
-    model = spark.sparkContext.broadcast(trained(slices, vocabulary))
+    first = second = train.select("text")
+    if not whole:
+        part = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(SLICES))
+        first, second = (train.where(x).select("text") for x in (part > 0, part == 0))
+    model = spark.sparkContext.broadcast(trained(first, second, vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, m = vocabulary.value, model.value

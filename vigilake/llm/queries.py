@@ -27,7 +27,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maxent.scored(documents(spark, sf_dir))
+    return maxent.scored(documents(spark, sf_dir), whole=True)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
