@@ -49,3 +49,9 @@ def test_slices_of_several_files_are_one_batch_each(spark, monkeypatch, rows_per
     assert sorted((r.src_ip, r.hits) for r in out) == [(f"10.0.0.{n}", 15) for n in range(4)]
     streams.put(spark.range(3), path := shared_path(spark, "put"), 5, 2)
     assert len(spark.read.parquet(path).inputFiles()) == 5 and spark.read.parquet(path).count() == 3
+
+
+def test_xml_records_become_trees_without_python_in_between():
+    tree = fl.element('<a x="1">t<!-- c -->u<b/>tail</a>')
+    assert isinstance(tree, Element) and (tree.text, tree.attrib, len(tree)) == ("tu", {"x": "1"}, 1)
+    assert fl.element("<a>") is None and fl.element("") is None
