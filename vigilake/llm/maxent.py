@@ -227,7 +227,7 @@ class Model:
             self.weights[at] = scale * np.log((counts[at] + EXTRA) / (seen + FAN * EXTRA))
 
     def softmax(self, v: Vocabulary, node: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """What stands above each child's bar, child by child, and what stands below all of them."""
+        """Exponentials of the logits, child by child, and their sums, which they are to be divided by."""
         left = 1 - self.part[rows[0]]
         for r in rows[1:]:
             left -= self.part[r]
